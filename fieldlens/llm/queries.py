@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import block_naming, mixing, sharding
+from fieldlens.llm import block_naming, mixing, packing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.dedup(_read(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
@@ -24,7 +30,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_block_naming, op6_rendezvous, op10_mixing]
+    found = [op2_block_naming, op4_packing, op6_rendezvous, op10_mixing]
     return {f.__name__: f for f in found}
 
 
