@@ -98,7 +98,8 @@ def dedup(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
     rows = scratch.save(identities(docs, scratch, block_size), "identities")
     scratch.keep("identities")
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("best")
-    groups = rows.groupBy("level", "name").agg(best, F.count("*").alias("group_size"))
+    # written, so that the join has an exchange on either side and a large group's rows can be split
+    groups = scratch.save(rows.groupBy("level", "name").agg(best, F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["level", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
