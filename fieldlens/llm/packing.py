@@ -22,7 +22,6 @@ REMEMBERED = 600_000
 #: Rows of the slot table up to which it is broadcast; a plain join beyond.
 SLOTS_BROADCAST = 200_000
 
-_SPLIT_UNSAFE = re.compile(r"\s ")
 _TURNS = re.compile(r"(?<=[^\W\d_])(?=[.,])|(?<=[.,])(?=\n)|(?<=[.,\n])(?=[^\W\d_])")
 
 
@@ -44,6 +43,10 @@ class _Remembered(dict):
         return ids
 
 
+class _Whole(Exception):
+    """The text must go to the tokenizer whole."""
+
+
 class WordEncoder:
     """A tokenizer's ids as little-endian unsigned 32-bit bytes, remembered by word.
 
@@ -63,36 +66,46 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare = _Remembered(self._encode)
         self.led = _Remembered(self._led)
-
-        self.model = self.tokenizer.model
+        self.merge = self.tokenizer.model.tokenize
+        self.bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 in order
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: 256 + i for i, b in enumerate(others)}
         self.space = chr(self.alphabet[32])
+        self.marks = {m: self._encode(m) for m in ".,"}
 
     def _letters(self, word: str, lead: str) -> bytes:
         """Letters alone are one piece: no splitting is needed before the merges."""
-        ids = [t.id for t in self.model.tokenize(lead + word.encode().decode("latin-1").translate(self.alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.bytes[t.id] for t in self.merge(lead + word)])
 
     def _encode(self, text: str) -> bytes:
         if text.isalpha():
             return self._letters(text, "")
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _led(self, word: str) -> bytes:
         if word.isalpha():
             return self._letters(word, self.space)
+        if not word or word[-1].isspace() or any(s in word for s in self.special):
+            raise _Whole
+        if word[-1] in self.marks and word[:-1].isalpha():
+            return self.led[word[:-1]] + self.marks[word[-1]]
         head, *tail = _TURNS.split(word)
         return (self.led[head] if tail else self._encode(" " + word)) + b"".join(map(self.bare.__getitem__, tail))
 
     def __call__(self, text: str) -> bytes:
-        if _SPLIT_UNSAFE.search(text) or any(s in text for s in self.special):
-            return self._encode(text)
         first, *words = text.split(" ")
-        return (self._encode(first) if first else b"") + b"".join(map(self.led.__getitem__, words))
+        if not words or first[-1:].isspace() or any(s in first or s in words[-1] for s in self.special):
+            return self._encode(text)
+        last = words.pop()
+        try:
+            middle = b"".join(map(self.led.__getitem__, words))
+        except _Whole:
+            return self._encode(text)
+        return (self._encode(first) if first else b"") + middle + self._encode(" " + last)
 
 
 @cache

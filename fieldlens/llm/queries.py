@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import block_naming, mixing, ngram_join, packing, sharding
+from fieldlens.llm import block_naming, mixing, ngram_join, packing, repeats, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+def op7_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_block_naming, op4_packing, op6_rendezvous, op9_ngram_join, op10_mixing]
+    found = [op2_block_naming, op4_packing, op6_rendezvous, op7_prefix_doubling, op9_ngram_join, op10_mixing]
     return {f.__name__: f for f in found}
 
 
