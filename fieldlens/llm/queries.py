@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import block_naming, mixing, ngram_join, packing, repeats, sharding
+from fieldlens.llm import block_naming, mixing, ngram_join, packing, repeats, reply_trees, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_trees.digests(reply_trees.with_probe(_read(spark, sf_dir, "conversations")))
+
+
 def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
@@ -38,9 +42,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_block_naming, op4_packing, op6_rendezvous, op7_prefix_doubling, op9_ngram_join, op10_mixing]
+    found = [op2_block_naming, op4_packing, op5_reply_trees, op6_rendezvous, op7_prefix_doubling, op9_ngram_join, op10_mixing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    probe = "'" + reply_trees.PROBE + "'"
+    turns = f"SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', {probe}), (-1, 1, 'assistant', {probe})"
+    return {"op5_reply_trees": reply_trees.digests_sql(turns)}
