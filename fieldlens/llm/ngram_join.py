@@ -101,6 +101,8 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
 
 def prefix_length(n):
     """Of a set of n, so many first tokens hold one of any set of Jaccard similarity 0.8 or more."""
+    if isinstance(n, Column):
+        return n - F.ceil(n * 4 / F.lit(5)) + 1
     return n - (4 * n + 4) // 5 + 1
 
 
@@ -166,65 +168,37 @@ def _post(crowded: np.ndarray, splits: np.ndarray):
 #: Stands for a null doc_id inside the join.
 NO_ID = -(2**63)
 
-RUNS = "token long, salt int, leader long, leader_n int, doc_id long, n int"
-_RUNS = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("leader", pa.int64()), ("leader_n", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32())])
+SHARED = "token long, doc_id long, n int"
+_SHARED = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
 
 
-def _runs(splits: np.ndarray):
-    """Of postings sorted by token, salt and n: those of tokens that several documents post, each with a leader.
+def _shared(splits: np.ndarray):
+    """Of postings sorted by token and salt: those of tokens that several documents post. State is one row.
 
-    The leader is the first document whose size is near enough; one that is too large for it leads the next. State is one
-    row. A split token's rows all stay, as their partners may be in another task.
+    A split token's rows all stay, as their partners may be in another task.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None  # (token, salt, leader, leader_n) of the open run; its first row while alone
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, going = None, None  # the last row while it is alone; the (token, salt) that a next row may carry on
         for batch in batches:
             token, salt, n, doc = (batch.column(i).to_numpy() for i in range(4))
-            size = len(token)
-            if not size:
+            if not len(token):
                 continue
-            new = np.ones(size, bool)
+            new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-            if last is not None and (int(token[0]), int(salt[0])) == last[:2]:
+            if going == (int(token[0]), int(salt[0])):
                 new[0] = False
             lone = new.copy()
             lone[:-1] &= new[1:]
-            open_end = bool(lone[-1])
-            is_split = splits[(token.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)] > 1
-            keep = ~lone | is_split
-            leader, leader_n = np.empty(size, np.int64), np.empty(size, np.int32)
-            starts = np.flatnonzero(new)
-            if len(starts) == 0 or starts[0] != 0:
-                starts = np.concatenate([[0], starts])
-            ends = np.append(starts[1:], size)
-            alone = ends - starts == 1
-            leader[starts], leader_n[starts] = doc[starts], n[starts]
-            for s, e in zip(starts[~alone | ((starts == 0) & ~new[0])], ends[~alone | ((starts == 0) & ~new[0])]):
-                if s == 0 and not new[0]:
-                    who, how = last[2], last[3]
-                else:
-                    who, how = int(doc[s]), int(n[s])
-                at = s
-                while at < e:
-                    upto = s + int(np.searchsorted(n[s:e], how * 5 // 4, side="right"))
-                    if upto > at:
-                        leader[at:upto], leader_n[at:upto] = who, how
-                        at = upto
-                    if at < e:
-                        who, how = int(doc[at]), int(n[at])
-            if held is not None:
-                if not new[0]:
-                    yield held
-                held = None
-            final = (int(token[-1]), int(salt[-1]), int(leader[-1]), int(leader_n[-1]))
-            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (token, salt, leader, leader_n, doc, n)], schema=_RUNS)
-            if open_end and not is_split[-1]:
-                held = whole.slice(size - 1)
-            yield whole.filter(pa.array(keep))
-            last = final
-
-    return run
+            split = splits[(token.view(np.uint64) % np.uint64(CELLS)).astype(np.int64)] > 1
+            whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (token, doc, n)], schema=_SHARED)
+            if held is not None and not new[0]:
+                yield held
+            yield whole.filter(pa.array(~lone | split))
+            held = whole.slice(len(token) - 1) if lone[-1] and not split[-1] else None
+            going = (int(token[-1]), int(salt[-1]))
+
+    return shared
 
 
 LIVE = "doc_id long, n int, text string, second array<int>, third array<int>"
@@ -310,7 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with the same set are one class from the start. Each set's prefix under the first order, in which crowded
     shingles come last, is posted; tokens posted by several documents give candidates. First each document is tried with
-    its runs' leaders and what links is joined up; then every pair of documents in different components that shares
+    one likely original and what links is joined up; then every pair of documents in different components that shares
     enough first prefix tokens is tried. A pair is verified only if it also shares enough prefix tokens under the second
     and the third order: the filters are intersected. No links are lost: pairs within one component need no test.
     Null and empty texts, and those without words, have no shingles and are alone; their component is their own doc_id.
@@ -331,38 +305,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = scratch.save(rows.where("n > 0").join(classes, ["a", "b"]).select("doc_id", "n", "rep"), "members")
 
     postings = texts.mapInArrow(_post(crowded, splits), POSTINGS)
-    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id")
-    runs = scratch.save(dealt.mapInArrow(_runs(splits), RUNS), "runs")
-    stars = runs.where("leader <> doc_id").select(F.col("leader").alias("x"), F.col("leader_n").alias("xn"), F.col("doc_id").alias("y"), F.col("n").alias("yn"))
-    heads = runs.where("leader = doc_id").select("token", F.col("leader").alias("y"), F.col("leader_n").alias("yn"))
-    split_heads = heads.groupBy("token").agg(F.min(F.struct("yn", "y")).alias("h"), F.count("*").alias("k")).where("k > 1").select("token", F.col("h.y").alias("x"), F.col("h.yn").alias("xn"))
-    stars = stars.unionByName(heads.join(split_heads, "token").where("x <> y").select("x", "xn", "y", "yn"))
-    stars = stars.where(fits(F.col("xn"), F.col("yn"))).groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("shared"))
-    stars = stars.where(F.col("shared") * 2 >= least_shared(F.col("xn"), F.col("yn"))).select("x", "xn", "y", "yn")  # the likely ones; all others come later
-
-    live_ids = runs.select("doc_id").distinct()
+    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt")
+    shared = scratch.save(dealt.mapInArrow(_shared(splits), SHARED), "shared")
+
+    # One try for each document first. An original shares all its prefix, its edited copies only what they left: of a
+    # token's documents the one that shares the largest part of its prefix leads. A quarter of the tokens is enough to
+    # find leaders; every pair that this leaves open is looked at below.
+    part = shared.groupBy("doc_id", "n").agg((F.count("*") / prefix_length(F.col("n"))).alias("part"))
+    some = shared.where(F.pmod("token", F.lit(4)) == 0).join(scratch.save(part, "part"), ["doc_id", "n"])
+    some = scratch.save(some, "some")
+    leads = some.groupBy("token").agg(F.max(F.struct("part", "doc_id", "n")).alias("lead")).select("token", F.col("lead.doc_id").alias("x"), F.col("lead.n").alias("xn"))
+    stars = some.select("token", F.col("doc_id").alias("y"), F.col("n").alias("yn")).join(scratch.save(leads, "leads"), "token")
+    stars = stars.where((F.col("x") != F.col("y")) & fits(F.col("xn"), F.col("yn"))).groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("k"))
+    stars = stars.groupBy("y", "yn").agg(F.max_by(F.struct("x", "xn"), F.struct("k", "x")).alias("best")).select("best.x", "best.xn", "y", "yn")
+
+    live_ids = shared.select("doc_id").distinct()
     live = scratch.save(texts.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(live_ids.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").select("doc_id", "text").mapInArrow(_live, LIVE), "live")
 
-    links = scratch.save(_tried(stars, live, "stars", scratch), "links1")
     nodes = members.select("doc_id", "rep").distinct()
-
-    def graph(links: DataFrame) -> DataFrame:
-        by_rep = links.where("linked").join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
-        return by_rep
-
-    first = components(graph(links), scratch, "first")
-    first = scratch.save(first, "first")
-    placed = nodes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("c")).distinct()
-    posted = scratch.save(runs.select("token", "doc_id", "n").distinct().join(placed, "doc_id"), "posted")
-    mixed = posted.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    open_rows = scratch.save(posted.join(mixed, "token"), "open")
-    x, y = open_rows.toDF("token", "x", "xn", "xc"), open_rows.toDF("token", "y", "yn", "yc")
-    pairs = x.join(y, "token").where((F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc")) & fits(F.col("xn"), F.col("yn")))
-    pairs = pairs.groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared(F.col("xn"), F.col("yn"))).select("x", "xn", "y", "yn")
-    more = scratch.save(_tried(pairs, live, "rest", scratch), "links2")
-    roots = scratch.save(components(graph(links.unionByName(more)), scratch, "last"), "roots")
-
-    out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    links = _tried(stars, live, "stars", scratch).where("linked")
+    edges = links.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
+    first = components(edges, scratch, "first").withColumnRenamed("node", "rep")
+    placed = scratch.save(nodes.join(first, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("c")), "placed")
+    posted = scratch.save(shared.join(placed, "doc_id"), "posted")
+    # In a token's documents those of its largest component meet only the others.
+    sizes = posted.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("several"))
+    tops = scratch.save(sizes.where("several > 1").select("token", F.col("top.c").alias("top")), "tops")
+    y = scratch.save(posted.join(tops, "token").toDF("token", "y", "yn", "yc", "top"), "open")
+    x = y.where("yc <> top").select("token", F.col("y").alias("x"), F.col("yn").alias("xn"), F.col("yc").alias("xc"))
+    pairs = x.join(y, "token").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("x") < F.col("y"))) & fits(F.col("xn"), F.col("yn")))
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("xn"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("yn"))
+    pairs = pairs.groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(F.col("xn"), F.col("yn"))).select("x", "xn", "y", "yn")
+    links = _tried(pairs, live, "rest", scratch).where("linked")
+    edges = links.join(placed.toDF("a", "u"), "a").join(placed.toDF("b", "v"), "b").select("u", "v")
+    last = scratch.save(components(edges, scratch, "last").withColumnRenamed("node", "c"), "last")
+
+    found = placed.join(last, "c", "left").select("doc_id", F.coalesce("root", "c").alias("component_id"))
+    out = rows.where("n > 0").join(found, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     back = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) for c in ("doc_id", "component_id")]
     return out.unionByName(alone).select(back[0], "n_shingles", back[1])
