@@ -18,7 +18,7 @@ from fieldlens.llm.common import Scratch, group_slots
 CAPACITY = 1024
 END = 0
 #: Words whose ids a worker keeps; beyond it the memory starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_600_000
 #: Rows of the slot table up to which it is broadcast; a plain join beyond.
 SLOTS_BROADCAST = 200_000
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import block_naming, mixing, ngram_join, packing, repeats, reply_trees, sharding
+from fieldlens.llm import block_naming, compression, mixing, ngram_join, packing, repeats, reply_trees, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.dedup(_read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,6 +37,10 @@ def op7_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op8_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_block_naming, op4_packing, op5_reply_trees, op6_rendezvous, op7_prefix_doubling, op9_ngram_join, op10_mixing]
+    found = [op2_block_naming, op3_toxicity, op4_packing, op5_reply_trees, op6_rendezvous, op7_prefix_doubling, op8_compression, op9_ngram_join, op10_mixing]
     return {f.__name__: f for f in found}
 
 
