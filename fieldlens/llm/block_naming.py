@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import WS, Scratch
+from fieldlens.llm.common import NO_ID, WS, Scratch, marked
 
 #: Code points of a block. Most documents are one block; a document of n blocks takes log2(n) more rounds.
 BLOCK = 4096
@@ -108,12 +108,13 @@ def dedup(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
 def unique_documents(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
     """docs without the rows that dedup() drops, in docs' columns.
 
-    Rows with one doc_id and equal texts are one document here.
+    Rows with one doc_id and equal texts are one document here. Only rows that share a hash bucket with a dropped row are
+    looked at again.
     """
-    kept = dedup(docs, block_size).where("kept").select(F.col("doc_id").alias("_id"), "text_sha256").distinct()
-    return (
-        docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
-        .dropDuplicates(["doc_id", "_sha"])
-        .select(*docs.columns)
-    )
+    scratch = Scratch(docs.sparkSession, "unique")
+    found = scratch.save(dedup(docs, block_size).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "kept", "text_sha256"), "found")
+    dropped, kept = found.where(~F.col("kept")).select("_id").distinct(), found.where("kept").select("_id", F.col("text_sha256").alias("_sha")).distinct()
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
+    again = marked(keyed, dropped, "_id", "left_semi").withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+    again = again.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
+    return marked(keyed, dropped, "_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]+"
 
+#: Stands for a null doc_id inside joins.
+NO_ID = -(2**63)
+
 _own_dir: str | None = None
 
 
@@ -55,6 +58,28 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Hash buckets by which rows that a join cannot touch are told before a shuffle: at most so many numbers are broadcast.
+FILTER = 1 << 20
+
+
+def marked(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """rows whose key's hash bucket holds (left_semi), or does not hold (left_anti), a key of ids."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(FILTER))
+    wanted = ids.select(bucket.alias("_bucket")).distinct()
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", how).drop("_bucket")
+
+
+def fetched(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is in ids; only rows whose key's hash bucket is wanted are shuffled."""
+    return marked(rows, ids, key, "left_semi").join(ids, key, "left_semi").select(*rows.columns)
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is not in ids (null keys stay); only rows whose key's hash bucket is listed are shuffled."""
+    listed = marked(rows, ids, key, "left_semi").join(ids, key, "left_anti")
+    return marked(rows, ids, key, "left_anti").unionByName(listed.select(*rows.columns))
+
+
 def buckets(total: int, per_bucket: int) -> int:
     """How many buckets hold about per_bucket rows each, at least one."""
     return max(1, -(-total // per_bucket))

@@ -51,17 +51,8 @@ def targets(sizes: DataFrame, weights: list[float], cap: float = 3.0) -> DataFra
     )
 
 
-def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, whole: bool = False, seed: str = "mix", rows_per_bucket: int = 50_000) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
-
-    A source first gives its complete epochs (every document, floor(target / size) times), then a fraction of one: its
-    documents in the order of exponential keys scaled by quality weight, until the words that remain are met. The last of
-    them is cut to the budget, or with whole=True taken when that comes nearer to the target than leaving it.
-    Sources may hold any share of the rows: keys are cut into ranges, range sums find the one range in which a source's
-    budget ends, and only that range's rows are sorted.
-    Null text: size 0, taken 0. A null source is a source of its own, the last. Repeated rows are separate documents. An
-    empty table gives an empty result; other columns are ignored.
-    """
+def _mixed(docs: DataFrame, weights: list[float], cap: float, whole: bool, seed: str, rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Every document with its key, _part (words of the fractional epoch) and taken; and each source's plan."""
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.col("text")
     key = sampling_key(F.col("doc_id"), quality_weight(text), seed)
@@ -94,16 +85,42 @@ def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, whole: bool = F
     part = F.when(F.col("size") <= 2 * left, F.col("size")).otherwise(0) if whole else F.greatest(F.lit(0), F.least(F.col("size"), left))
     ends = ends.withColumn("_left", left).withColumn("_part", F.when(F.col("_left") > 0, part).otherwise(0))
     both = whole_ranges.unionByName(ends.drop("_left"))
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"))
+    return both.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("_part")).cast("long")), plan
+
+
+def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, whole: bool = False, seed: str = "mix", rows_per_bucket: int = 50_000) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
+
+    A source first gives its complete epochs (every document, floor(target / size) times), then a fraction of one: its
+    documents in the order of exponential keys scaled by quality weight, until the words that remain are met. The last of
+    them is cut to the budget, or with whole=True taken when that comes nearer to the target than leaving it.
+    Sources may hold any share of the rows: keys are cut into ranges, range sums find the one range in which a source's
+    budget ends, and only that range's rows are sorted.
+    Null text: size 0, taken 0. A null source is a source of its own, the last. Repeated rows are separate documents. An
+    empty table gives an empty result; other columns are ignored.
+    """
+    taken, _ = _mixed(docs, weights, cap, whole, seed, rows_per_bucket)
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+#: Sources up to which their plans are broadcast; a plain join beyond.
+SOURCES_BROADCAST = 50_000
 
 
-def mixed_documents(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: str = "mix") -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: str = "mix", rows_per_bucket: int = 50_000) -> DataFrame:
     """The mix itself: every document as often as it is taken, always whole, in docs' columns.
 
-    Documents without words stay once: they use no budget, so nothing speaks against keeping them. Rows that share a
-    doc_id are all taken as often as the one of them that is taken most.
+    A source's fractional epoch ends at one key, so each row can tell from its own key how often it is taken: texts are
+    not shuffled. Documents without words stay once: they use no budget, so nothing speaks against keeping them.
     """
-    taken = mix(docs, weights, cap, whole=True, seed=seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1)))).otherwise(1).cast("int")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).where(times > 0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "mixed")
+    taken, plan = _mixed(docs, weights, cap, True, seed, rows_per_bucket)
+    ends = taken.where("_part > 0").groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("_end"))
+    plan = plan.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"))
+    plan = scratch.save(plan.join(ends, plan["_source"].eqNullSafe(ends["source"]), "left").select("_source", "_epochs", "_end"), "ends")
+    few = plan.count() <= SOURCES_BROADCAST
+    key = F.struct(sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"), F.col("doc_id"))
+    times = F.col("_epochs") + F.when(key <= F.col("_end"), 1).otherwise(0)
+    times = F.when(F.coalesce("text", F.lit("")).rlike(NOT_WS), times).otherwise(1).cast("int")
+    joined = docs.join(F.broadcast(plan) if few else plan, docs["source"].eqNullSafe(plan["_source"])).withColumn("_times", times)
+    return joined.where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])

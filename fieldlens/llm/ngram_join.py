@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import Scratch
+from fieldlens.llm.common import NO_ID, Scratch, fetched, without
 
 #: Words of a shingle.
 WORDS = 5
@@ -165,9 +165,6 @@ def _post(crowded: np.ndarray, splits: np.ndarray):
     return post
 
 
-#: Stands for a null doc_id inside the join.
-NO_ID = -(2**63)
-
 SHARED = "token long, doc_id long, n int"
 _SHARED = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
 
@@ -317,13 +314,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leads = some.groupBy("token").agg(F.max(F.struct("part", "doc_id", "n")).alias("lead")).select("token", F.col("lead.doc_id").alias("x"), F.col("lead.n").alias("xn"))
     stars = some.select("token", F.col("doc_id").alias("y"), F.col("n").alias("yn")).join(scratch.save(leads, "leads"), "token")
     stars = stars.where((F.col("x") != F.col("y")) & fits(F.col("xn"), F.col("yn"))).groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("k"))
+    stars = stars.where(F.col("k") * 8 >= least_shared(F.col("xn"), F.col("yn")))  # half of what a link needs, as far as a quarter tells
     stars = stars.groupBy("y", "yn").agg(F.max_by(F.struct("x", "xn"), F.struct("k", "x")).alias("best")).select("best.x", "best.xn", "y", "yn")
 
-    live_ids = shared.select("doc_id").distinct()
-    live = scratch.save(texts.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(live_ids.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").select("doc_id", "text").mapInArrow(_live, LIVE), "live")
-
     nodes = members.select("doc_id", "rep").distinct()
-    links = _tried(stars, live, "stars", scratch).where("linked")
+    links = _tried(stars, texts, "stars", scratch).where("linked")
     edges = links.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
     first = components(edges, scratch, "first").withColumnRenamed("node", "rep")
     placed = scratch.save(nodes.join(first, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("c")), "placed")
@@ -336,7 +331,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = x.join(y, "token").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("x") < F.col("y"))) & fits(F.col("xn"), F.col("yn")))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("xn"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("yn"))
     pairs = pairs.groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(F.col("xn"), F.col("yn"))).select("x", "xn", "y", "yn")
-    links = _tried(pairs, live, "rest", scratch).where("linked")
+    links = _tried(pairs, texts, "rest", scratch).where("linked")
     edges = links.join(placed.toDF("a", "u"), "a").join(placed.toDF("b", "v"), "b").select("u", "v")
     last = scratch.save(components(edges, scratch, "last").withColumnRenamed("node", "c"), "last")
 
@@ -347,10 +342,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.unionByName(alone).select(back[0], "n_shingles", back[1])
 
 
-def _tried(pairs: DataFrame, live: DataFrame, label: str, scratch: Scratch) -> DataFrame:
+def _tried(pairs: DataFrame, texts: DataFrame, label: str, scratch: Scratch) -> DataFrame:
     """(a, b, linked) of pairs (x, xn, y, yn): first the other orders' filters, then the whole sets."""
-    orders = live.select("doc_id", "second", "third")
     pairs = scratch.save(pairs, f"{label}-pairs")
+    ids = scratch.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{label}-ids")
+    named = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    live = scratch.save(fetched(named, ids).mapInArrow(_live, LIVE), f"{label}-live")
+    orders = live.select("doc_id", "second", "third")
     both = pairs.join(orders.toDF("x", "x2", "x3"), "x").join(orders.toDF("y", "y2", "y3"), "y")
     enough = least_shared(F.col("xn"), F.col("yn"))
     # a clash of two tokens within a set must not lower the count: compare with what the smaller side can lose
@@ -359,8 +357,8 @@ def _tried(pairs: DataFrame, live: DataFrame, label: str, scratch: Scratch) -> D
         return F.size(F.array_intersect(p, q)) + lost
 
     passed = both.where((shared("x2", "y2") >= enough) & (shared("x3", "y3") >= enough)).select("x", "y")
-    texts = live.select("doc_id", "text")
-    joined = passed.join(texts.toDF("y", "right"), "y").join(texts.toDF("x", "left"), "x").select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right")
+    whole = live.select("doc_id", "text")
+    joined = passed.join(whole.toDF("y", "right"), "y").join(whole.toDF("x", "left"), "x").select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right")
     return joined.sortWithinPartitions("a").mapInArrow(_verify, "a long, b long, linked boolean")
 
 
@@ -369,5 +367,6 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id stay together.
     """
-    drop = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == F.col("_id"), "left_anti")
+    found = near_duplicates(docs).where("doc_id is not null")
+    drop = Scratch(docs.sparkSession, "near-drop").save(found.where("doc_id <> component_id").select("doc_id").distinct(), "ids")
+    return without(docs, drop)

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import Scratch
-from fieldlens.llm.ngram_join import NO_ID, _mix, _texts
+from fieldlens.llm.common import NO_ID, Scratch
+from fieldlens.llm.ngram_join import _mix, _texts
 
 #: Bytes of the strings that count as repeats, and of the prefixes that get the first ranks: doubled once, these reach it.
 LENGTH = 400
