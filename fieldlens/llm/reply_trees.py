@@ -37,23 +37,19 @@ def paths(nodes: DataFrame, scratch: Scratch, branches: int = 1) -> DataFrame:
         "links0",
     )
     longest = links.groupBy("tree").count().agg(F.max("count")).first()[0] or 0  # no path is longer than its tree
-    reaches, rounds = [links], 0
-    while not links.where("up is not null").isEmpty() and 2**rounds < longest:
-        rounds += 1
-        upper = links.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        links = scratch.save(
-            links.join(upper, ["tree", "up"], "left").select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")
-            ),
-            f"links{rounds}",
-        )
-        reaches.append(links)
+    open_, rooted, reaches = links.where("up is not null"), links.where("up is null"), []
+    while not open_.isEmpty() and 2 ** len(reaches) < 2 * longest:
+        reaches.append(open_)  # nodes that have an ancestor at this reach; only they go on
+        upper = open_.unionByName(rooted).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
+        links = open_.join(upper, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        links = scratch.save(links, f"links{len(reaches)}")
+        open_, rooted = links.where("up is not null"), rooted.unionByName(links.where("up is null"))
     inner = nodes.select("tree", F.col("parent").alias("node")).distinct()
-    leaves = links.where("up is null").join(inner, ["tree", "node"], "left_anti")
+    leaves = rooted.join(inner, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node"))
     found = leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
     for i, reach in enumerate(reaches):
-        above = reach.where("up is not null").select("tree", "node", "up")
+        above = reach.select("tree", "node", "up")
         found = found.unionByName(found.join(above, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + 2**i).alias("back")))
         if i % 3 == 2:
             found = scratch.save(found, f"paths{i}")
