@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.llm import block_naming, compression, mixing, ngram_join, packing, repeats, reply_trees, sharding, toxicity
+from fieldlens.llm import block_naming, compression, fingerprints, mixing, ngram_join, packing, repeats, reply_trees, sharding, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(_read(spark, sf_dir, "documents"))
+
+
 def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.dedup(_read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_block_naming, op3_toxicity, op4_packing, op5_reply_trees, op6_rendezvous, op7_prefix_doubling, op8_compression, op9_ngram_join, op10_mixing]
+    found = [op1_syncmers, op2_block_naming, op3_toxicity, op4_packing, op5_reply_trees, op6_rendezvous, op7_prefix_doubling, op8_compression, op9_ngram_join, op10_mixing]
     return {f.__name__: f for f in found}
 
 
