@@ -89,7 +89,10 @@ def shingles(data: np.ndarray, size: int = WORDS) -> np.ndarray:
     sums = words[: n - size + 1] * _PLACE[0]
     for i in range(1, size):
         sums = sums + words[i : n - size + 1 + i] * _PLACE[i]
-    return np.unique(_mix(sums))
+    hashed = np.sort(_mix(sums))
+    first = np.ones(len(hashed), bool)
+    np.not_equal(hashed[1:], hashed[:-1], out=first[1:])
+    return hashed[first]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
@@ -318,7 +321,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stars.groupBy("y", "yn").agg(F.max_by(F.struct("x", "xn"), F.struct("k", "x")).alias("best")).select("best.x", "best.xn", "y", "yn")
 
     nodes = members.select("doc_id", "rep").distinct()
-    links = _tried(stars, texts, "stars", scratch).where("linked")
+    stars = scratch.save(stars, "stars")
+    links = _tried(stars, _looked_up(stars, texts, "stars", scratch), "stars", scratch).where("linked")
     edges = links.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
     first = components(edges, scratch, "first").withColumnRenamed("node", "rep")
     placed = scratch.save(nodes.join(first, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("c")), "placed")
@@ -329,25 +333,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     y = scratch.save(posted.join(tops, "token").toDF("token", "y", "yn", "yc", "top"), "open")
     x = y.where("yc <> top").select("token", F.col("y").alias("x"), F.col("yn").alias("xn"), F.col("yc").alias("xc"))
     pairs = x.join(y, "token").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("x") < F.col("y"))) & fits(F.col("xn"), F.col("yn")))
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("xn"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("yn"))
-    pairs = pairs.groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(F.col("xn"), F.col("yn"))).select("x", "xn", "y", "yn")
-    links = _tried(pairs, texts, "rest", scratch).where("linked")
-    edges = links.join(placed.toDF("a", "u"), "a").join(placed.toDF("b", "v"), "b").select("u", "v")
-    last = scratch.save(components(edges, scratch, "last").withColumnRenamed("node", "c"), "last")
-
-    found = placed.join(last, "c", "left").select("doc_id", F.coalesce("root", "c").alias("component_id"))
+    first_is_less = F.col("x") < F.col("y")
+    ordered = [F.when(first_is_less, F.col(own)).otherwise(F.col(other)).alias(own) for own, other in (("x", "y"), ("xn", "yn"), ("xc", "yc"), ("y", "x"), ("yn", "xn"), ("yc", "xc"))]
+    pairs = pairs.select(*ordered)
+    pairs = pairs.groupBy("x", "xn", "xc", "y", "yn", "yc").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(F.col("xn"), F.col("yn")))
+    pairs, labels, turn = scratch.save(pairs, "rest0"), placed, 0
+    live = _looked_up(pairs, texts, "rest", scratch)
+    while not pairs.isEmpty():
+        # the likeliest pair of any two components first: what it joins needs no further test; once that joins none, all
+        turn += 1
+        two = [F.least("xc", "yc").alias("u"), F.greatest("xc", "yc").alias("v")]
+        best = pairs.groupBy(*two).agg(F.max_by(F.struct("x", "xn", "y", "yn"), F.struct(F.col("k") / least_shared(F.col("xn"), F.col("yn")), "x", "y")).alias("b")).select("b.*")
+        linked = scratch.save(_tried(best, live, f"best{turn}", scratch).where("linked").select("a", "b"), f"linked{turn}")
+        last_turn = linked.isEmpty()
+        if last_turn:
+            linked = scratch.save(_tried(pairs.select("x", "xn", "y", "yn"), live, f"all{turn}", scratch).where("linked").select("a", "b"), f"linked-all{turn}")
+        edges = linked.join(labels.toDF("a", "u"), "a").join(labels.toDF("b", "v"), "b").select("u", "v")
+        joined = scratch.save(components(edges, scratch, f"turn{turn}").toDF("c", "root"), f"joined{turn}")
+        labels = scratch.save(labels.join(joined, "c", "left").select("doc_id", F.coalesce("root", "c").alias("c")), f"labels{turn}")
+        if last_turn:
+            break
+        for side in ("xc", "yc"):
+            pairs = pairs.join(joined.toDF(side, "_root"), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+        tried = linked.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        pairs = scratch.save(pairs.where("xc <> yc").join(tried, ["x", "y"], "left_anti"), f"rest{turn}")
+
+    found = labels.select("doc_id", F.col("c").alias("component_id"))
     out = rows.where("n > 0").join(found, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     back = [F.when(F.col(c) != NO_ID, F.col(c)).alias(c) for c in ("doc_id", "component_id")]
     return out.unionByName(alone).select(back[0], "n_shingles", back[1])
 
 
-def _tried(pairs: DataFrame, texts: DataFrame, label: str, scratch: Scratch) -> DataFrame:
-    """(a, b, linked) of pairs (x, xn, y, yn): first the other orders' filters, then the whole sets."""
-    pairs = scratch.save(pairs, f"{label}-pairs")
+def _looked_up(pairs: DataFrame, texts: DataFrame, label: str, scratch: Scratch) -> DataFrame:
+    """The texts of pairs' documents, with their prefixes under the other orders."""
     ids = scratch.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{label}-ids")
     named = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    live = scratch.save(fetched(named, ids).mapInArrow(_live, LIVE), f"{label}-live")
+    return scratch.save(fetched(named, ids).mapInArrow(_live, LIVE), f"{label}-live")
+
+
+def _tried(pairs: DataFrame, live: DataFrame, label: str, scratch: Scratch) -> DataFrame:
+    """(a, b, linked) of pairs (x, xn, y, yn): first the other orders' filters, then the whole sets."""
+    pairs = scratch.save(pairs, f"{label}-pairs")
     orders = live.select("doc_id", "second", "third")
     both = pairs.join(orders.toDF("x", "x2", "x3"), "x").join(orders.toDF("y", "y2", "y3"), "y")
     enough = least_shared(F.col("xn"), F.col("yn"))

@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from fieldlens.llm.labels import remainder, sample
 
 #: Bounds of the labelled sample, as for quality.
-PER_CLASS = 3000
-CALIBRATION = 4000
-SAMPLE_BYTES = 24_000_000
+PER_CLASS = 1500
+CALIBRATION = 3000
+SAMPLE_BYTES = 12_000_000
 #: Terms of the index at most, the strongest first; examples of a block; neighbours that vote.
 TERMS = 4000
 BLOCK = 64
 NEIGHBOURS = 15
 #: Lengths of the word beginnings that count as terms beside whole words, so that inflected words meet.
 STEMS = (4, 5, 6)
+#: Documents of label 1 that a term needs.
+LEAST = 4
 #: How sure a term must be (twice the log-likelihood gain of splitting by it).
 SURE = 26.0
 #: Words whose terms a worker keeps.
@@ -61,18 +63,30 @@ def distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return kept
 
 
-def choose_terms(documents: list[set[str]], labels: np.ndarray) -> list[str]:
-    """Terms that mark label 1: sure by likelihood ratio, and at least eight times as frequent there as under label 0."""
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+def text_terms(text: str) -> set[str]:
+    return {t for word in set(text.split()) for t in terms_of(word)}
+
+
+def choose_terms(rows: list[tuple[str, int]]) -> list[str]:
+    """Terms that mark label 1: sure by likelihood ratio, and at least eight times as frequent there as under label 0.
+
+    A first pass counts hashed terms, so that only those with enough documents of label 1 are held as text in a second.
+    """
+    n1 = sum(v for _, v in rows)
+    n0 = len(rows) - n1
     if not n1 or not n0:
         return []
+    hashed = np.zeros(1 << 22, np.int32)
+    for text, label in rows:
+        if label:
+            hashed[list({zlib.crc32(t.encode()) & (len(hashed) - 1) for t in text_terms(text)})] += 1
     pos, neg = Counter(), Counter()
-    for terms, label in zip(documents, labels):
-        (pos if label else neg).update(terms)
-    names = [t for t, c in pos.items() if c >= 3]
-    k1, k0 = np.array([pos[t] for t in names], float), np.array([neg[t] for t in names], float)
-    if not len(names):
+    for text, label in rows:
+        (pos if label else neg).update(t for t in text_terms(text) if hashed[zlib.crc32(t.encode()) & (len(hashed) - 1)] >= LEAST)
+    names = [t for t, c in pos.items() if c >= LEAST]
+    if not names:
         return []
+    k1, k0 = np.array([pos[t] for t in names], float), np.array([neg[t] for t in names], float)
     sure = 2 * (_gain(k1, n1) + _gain(k0, n0) - (_gain((k1 + k0), n1 + n0)))
     good = (sure >= SURE) & (k1 / n1 >= 8 * (k0 + 0.25) / n0)
     order = sorted(np.flatnonzero(good), key=lambda i: (-sure[i], names[i]))
@@ -142,15 +156,14 @@ class Index:
 
 def build(balanced: list[tuple[str, int]]) -> Index:
     balanced = distinct(balanced)
-    labels = np.array([v for _, v in balanced], int)
-    documents = [{t for word in set(text.split()) for t in terms_of(word)} for text, _ in balanced]
-    names = choose_terms(documents, labels)
+    names = choose_terms(balanced)
     index = Index({t: i for i, t in enumerate(names)})
     if not names:
         return index
-    sizes = Counter(t for d in documents for t in d if t in index.vocabulary)
-    index.idf = np.array([np.log((1 + len(documents)) / (1 + sizes[t])) + 1 for t in names])
     known: dict = {}
+    index.idf = np.ones(len(names))
+    sizes = Counter(i for text, _ in balanced for i in index.counts(text, known))
+    index.idf = np.array([np.log((1 + len(balanced)) / (1 + sizes[i])) + 1 for i in range(len(names))])
     held = [(c, v) for (text, v) in balanced if (c := index.counts(text, known))]
     index.labels = np.array([v for _, v in held], int)
     blocks = -(-len(held) // BLOCK)
