@@ -18,14 +18,27 @@ def check_digit(s: Column, first: int, last: int, base: int) -> Column:
     """The digit for characters first to last (from 0): weights 2 to base run from the right. Not digits: empty."""
     part = F.substring(s, first + 1, last - first + 1)
     n = last - first + 1
-    total = sum((F.try_to_number(F.substring(part, n - y, 1), F.lit("9")).cast("int") * (y % (base - 1) + 2) for y in range(n)), F.lit(0))
+    total = sum(((F.ascii(F.substring(part, n - y, 1)) - 48) * (y % (base - 1) + 2) for y in range(n)), F.lit(0))
     return F.when(part.rlike(f"^[0-9]{{{n}}}$"), mod11(total).cast("string")).otherwise("")
 
 
+def _digits(s: Column) -> Column:
+    return F.transform(F.split(s, ""), lambda c: F.ascii(c) - 48)
+
+
+def _sums(d: Column, at: Column, length: int, base: int) -> Column:
+    """Whether both last digits of the `length` digits from a place are right. The second check may read the first digit as
+    it stands: where that is wrong, so is the number."""
+
+    def digit(n: int) -> Column:
+        return mod11(sum((F.get(d, at + (n - 1 - y)) * (y % (base - 1) + 2) for y in range(n)), F.lit(0)))
+
+    return (digit(length - 2) == F.get(d, at + length - 2)) & (digit(length - 1) == F.get(d, at + length - 1))
+
+
 def _valid(s: Column, length: int, base: int) -> Column:
-    one = check_digit(s, 0, length - 3, base)
-    two = check_digit(F.concat(F.substring(s, 1, length - 2), one), 0, length - 2, base)
-    return s.rlike(f"^[0-9]{{{length}}}$") & (F.right(s, F.lit(2)) == F.concat(one, two))
+    held = F.transform(F.array(_digits(s)), lambda d: _sums(d, F.lit(0), length, base))
+    return F.when(s.rlike(f"^[0-9]{{{length}}}$"), F.get(held, 0)).otherwise(False)
 
 
 def cpf_valid(s: Column) -> Column:
@@ -41,8 +54,13 @@ def cnpj_valid(s: Column) -> Column:
 def find_cpfs(s: Column) -> Column:
     """Valid numbers among all stretches of 11 characters, each once, in order."""
     n = F.length(s)
-    starts = F.when(n >= 11, F.sequence(F.lit(1), n - 10)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substring(s, i, F.lit(11))), cpf_valid))
+    starts = F.when(n >= 11, F.sequence(F.lit(0), n - 11)).otherwise(F.array().cast("array<int>"))
+
+    def numbers(d: Column) -> Column:
+        good = F.filter(starts, lambda i: F.substring(s, i + 1, F.lit(11)).rlike("^[0-9]{11}$") & _sums(d, i, 11, 11))
+        return F.array_distinct(F.transform(good, lambda i: F.substring(s, i + 1, F.lit(11))))
+
+    return F.get(F.transform(F.array(_digits(s)), numbers), 0)
 
 
 def cpf_field(s: Column) -> Column:

@@ -161,14 +161,22 @@ MONTHS = "jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "
 _MASK = "[0-9]{2}/[0-9]{2}/[0-9]{4}"
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def slashes(digits: Column) -> Column:
     """Eight digits for a text of digits and slashes: its last three parts cut or filled to 2, 2 and 4, as dd/mm/yyyy."""
-    parts = F.split(digits, "/", -1)
+    return bound(digits, lambda d: bound(F.split(d, "/", -1), lambda parts: _eight(d, parts)))
+
+
+def _eight(digits: Column, parts: Column) -> Column:
     n = F.size(parts)
     two = F.concat(F.lit("00"), F.right(F.concat(F.lit("00"), F.get(parts, n - 2)), F.lit(2)), F.right(F.concat(F.lit("0000"), F.get(parts, n - 1)), F.lit(4)))
     three = F.concat(F.right(F.concat(F.lit("00"), F.get(parts, n - 3)), F.lit(2)), F.substring(two, 3, 6))
     flat = F.when(n == 1, F.right(F.concat(F.lit("00000000"), digits), F.lit(8))).when(n == 2, two).otherwise(three)
-    return F.concat_ws("/", F.substring(flat, 1, 2), F.substring(flat, 3, 2), F.substring(flat, 5, 4))
+    return bound(flat, lambda x: F.concat_ws("/", F.substring(x, 1, 2), F.substring(x, 3, 2), F.substring(x, 5, 4)))
 
 
 def canonical_date(s: Column) -> Column:
@@ -198,24 +206,22 @@ def recognised_date(s: Column, strict: bool = False) -> Column:
         t = F.replace(t, F.lit(month + "/"), F.lit(f"{i + 1:02}/"))
     digits = keep_chars(F.replace(F.translate(t, "li-.", "11//"), F.lit("//"), F.lit("/")), "0-9/")
 
-    def read(x: Column) -> Column:
-        return F.when(x.rlike(_MASK), F.regexp_extract(x, _MASK, 0)).otherwise(slashes(x))
-
     def opened(x: Column) -> Column:
         before = F.regexp_extract(x, "^([^47]*)([47])", 1)
         mark = F.regexp_extract(x, "^([^47]*)([47])", 2)
         return F.concat(before, F.when(mark == "7", "/").otherwise("/1"), F.substring(x, F.length(before) + 2, F.length(x)))
 
-    n = F.length(digits) - F.length(F.translate(digits, "/", ""))
-    marks = F.length(digits) - F.length(F.translate(digits, "47", ""))
-    out = (
-        F.when(digits.rlike(_MASK) | (n >= 2), read(digits))
-        .when((n == 0) & (F.length(digits) == 8), slashes(digits))
-        .when((n == 1) & (marks >= 1), read(opened(digits)))
-        .when((n == 0) & (marks >= 2), read(opened(opened(digits))))
-        .otherwise(slashes(digits))
-    )
-    return F.when(strict_date(out).isNotNull(), out) if strict else out
+    def chosen(x: Column) -> Column:
+        n = F.length(x) - F.length(F.translate(x, "/", ""))
+        marks = F.length(x) - F.length(F.translate(x, "47", ""))
+        stands = x.rlike(_MASK) | (n >= 2) | ((n == 0) & (F.length(x) == 8))
+        return F.when(stands, x).when((n == 1) & (marks >= 1), opened(x)).when((n == 0) & (marks >= 2), bound(opened(x), opened)).otherwise(x)
+
+    def read(x: Column) -> Column:
+        return F.when(x.rlike(_MASK), F.regexp_extract(x, _MASK, 0)).otherwise(slashes(x))
+
+    out = bound(bound(digits, chosen), read)
+    return bound(out, lambda x: F.when(strict_date(x).isNotNull(), x)) if strict else out
 
 
 def rounded_year(year: Column, as_of: Column | int, digits: int = 2) -> Column:
