@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.plans import registry, text_queries  # noqa: F401
+from fieldlens.plans import document_queries, registry, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["fold_text"](spark, sf_dir)
+    return registry.QUERIES["accuracy_blocks"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
