@@ -114,7 +114,7 @@ def unique_documents(docs: DataFrame, block_size: int = BLOCK) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "unique")
     found = scratch.save(dedup(docs, block_size).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "kept", "text_sha256"), "found")
     dropped, kept = found.where(~F.col("kept")).select("_id").distinct(), found.where("kept").select("_id", F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
-    again = marked(keyed, dropped, "_id", "left_semi").withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_id"), F.col("text").alias("_text"))
+    again = marked(keyed, dropped, "_id", "left_semi").withColumn("_sha", F.sha2(normalised(F.col("_text")), 256))
     again = again.join(kept, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
-    return marked(keyed, dropped, "_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    return marked(keyed, dropped, "_id", "left_anti").select("_row.*").unionByName(again.select("_row.*"))

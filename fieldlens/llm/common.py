@@ -64,9 +64,12 @@ FILTER = 1 << 20
 
 def marked(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     """rows whose key's hash bucket holds (left_semi), or does not hold (left_anti), a key of ids."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(FILTER))
-    wanted = ids.select(bucket.alias("_bucket")).distinct()
-    return rows.withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", how).drop("_bucket")
+    def bucket(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER))
+
+    wanted = ids.select(bucket(F.col(key)).alias("_bucket_of_ids")).distinct()
+    # a null key has a bucket, too, so that no row is lost between the two
+    return rows.join(F.broadcast(wanted), bucket(rows[key]) == wanted["_bucket_of_ids"], how)
 
 
 def fetched(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -120,7 +120,7 @@ def mixed_documents(docs: DataFrame, weights: list[float], cap: float = 3.0, see
     plan = scratch.save(plan.join(ends, plan["_source"].eqNullSafe(ends["source"]), "left").select("_source", "_epochs", "_end"), "ends")
     few = plan.count() <= SOURCES_BROADCAST
     key = F.struct(sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"), F.col("doc_id"))
-    times = F.col("_epochs") + F.when(key <= F.col("_end"), 1).otherwise(0)
-    times = F.when(F.coalesce("text", F.lit("")).rlike(NOT_WS), times).otherwise(1).cast("int")
-    joined = docs.join(F.broadcast(plan) if few else plan, docs["source"].eqNullSafe(plan["_source"])).withColumn("_times", times)
-    return joined.where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), F.coalesce("text", F.lit("")).rlike(NOT_WS).alias("_words"), F.col("source").alias("_of"))
+    times = F.when(F.col("_words"), F.col("_epochs") + F.when(F.col("_key") <= F.col("_end"), 1).otherwise(0)).otherwise(1).cast("int")
+    joined = rows.join(F.broadcast(plan) if few else plan, rows["_of"].eqNullSafe(plan["_source"])).withColumn("_times", times)
+    return joined.where("_times > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")

@@ -201,39 +201,53 @@ def _shared(splits: np.ndarray):
     return shared
 
 
-LIVE = "doc_id long, n int, text string, second array<int>, third array<int>"
-_LIVE = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("text", pa.string()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))])
+#: Sets of either side in a block of the verification: each text is shipped once for so many partners.
+SIDE = 64
 
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
-def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their prefixes under the second and third order, as 32 bits a token (a clash only lets a pair pass)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            ns, orders = [], ([], [])
-            for data in _texts(part, 1):
-                tokens = shingles(data)
-                ns.append(len(tokens))
-                for order, into in zip((2, 3), orders):
-                    into.append((in_order(tokens, order) if len(tokens) else tokens).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0).fill_null(NO_ID), pa.array(ns, pa.int32()), part.column(1).cast(pa.string()), *(pa.array(o, pa.list_(pa.int32())) for o in orders)], schema=_LIVE)
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Numbers in both of two sorted arrays without repeats."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def _prepared(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A text's set, and its prefixes under the second and the third order."""
+    tokens = shingles(data)
+    return tokens, *(np.sort(in_order(tokens, order)) for order in (2, 3))
 
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
+
+def similar(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> bool:
+    """100 * intersection >= 80 * union; pairs that share too little of a prefix fail before their sets are compared."""
+    n, m = len(x[0]), len(y[0])
+    enough = max(1, -(-(4 * (n + m)) // 9) - (-(-4 * max(n, m) // 5) - 1))
+    if any(_common(p, q) < enough for p, q in zip(x[1:], y[1:])):
+        return False
+    both = _common(x[0], y[0])
+    return 100 * both >= 80 * (n + m - both)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """100 * intersection >= 80 * union, on the whole sets of both texts."""
-    last_id, last_set = None, None
+    """Blocks sorted so that their x texts come before their y texts: the x sets of one block are held, the y stream by."""
+    block, held = None, {}
     for batch in batches:
-        linked = []
-        for a, left, right in zip(batch.column(0).to_pylist(), _texts(batch, 2), _texts(batch, 3)):
-            if a != last_id or last_set is None:
-                last_id, last_set = a, shingles(left)
-            other = shingles(right)
-            both = len(np.intersect1d(last_set, other, assume_unique=True))
-            linked.append(100 * both >= 80 * (len(last_set) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], schema=_LINK)
+        out = []
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+        for key, kind, doc_id, partners, data in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), _texts(batch, 6)):
+            if key != block:
+                block, held = key, {}
+            ready = _prepared(data)
+            if kind == 0:
+                held[doc_id] = ready
+            else:
+                out += [(x, doc_id, similar(held[x], ready)) for x in partners if x in held]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _LINK)], schema=_LINK)
 
 
 def fits(n: Column, m: Column) -> Column:
@@ -318,7 +332,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = some.select("token", F.col("doc_id").alias("y"), F.col("n").alias("yn")).join(scratch.save(leads, "leads"), "token")
     stars = stars.where((F.col("x") != F.col("y")) & fits(F.col("xn"), F.col("yn"))).groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("k"))
     stars = stars.where(F.col("k") * 8 >= least_shared(F.col("xn"), F.col("yn")))  # half of what a link needs, as far as a quarter tells
-    stars = stars.groupBy("y", "yn").agg(F.max_by(F.struct("x", "xn"), F.struct("k", "x")).alias("best")).select("best.x", "best.xn", "y", "yn")
+    stars = stars.groupBy("y", "yn").agg(F.max_by(F.struct("x"), F.struct("k", "x")).alias("best")).select(F.col("best.x").alias("x"), "y", F.col("best.x").alias("g"))
 
     nodes = members.select("doc_id", "rep").distinct()
     stars = scratch.save(stars, "stars")
@@ -343,11 +357,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # the likeliest pair of any two components first: what it joins needs no further test; once that joins none, all
         turn += 1
         two = [F.least("xc", "yc").alias("u"), F.greatest("xc", "yc").alias("v")]
-        best = pairs.groupBy(*two).agg(F.max_by(F.struct("x", "xn", "y", "yn"), F.struct(F.col("k") / least_shared(F.col("xn"), F.col("yn")), "x", "y")).alias("b")).select("b.*")
-        linked = scratch.save(_tried(best, live, f"best{turn}", scratch).where("linked").select("a", "b"), f"linked{turn}")
+        best = pairs.groupBy(*two).agg(F.max_by(F.struct("x", "xc", "y", "yc"), F.struct(F.col("k") / least_shared(F.col("xn"), F.col("yn")), "x", "y")).alias("b")).select("b.*")
+        linked = scratch.save(_tried(_grouped(best), live, f"best{turn}", scratch).where("linked").select("a", "b"), f"linked{turn}")
         last_turn = linked.isEmpty()
         if last_turn:
-            linked = scratch.save(_tried(pairs.select("x", "xn", "y", "yn"), live, f"all{turn}", scratch).where("linked").select("a", "b"), f"linked-all{turn}")
+            linked = scratch.save(_tried(_grouped(pairs), live, f"all{turn}", scratch).where("linked").select("a", "b"), f"linked-all{turn}")
         edges = linked.join(labels.toDF("a", "u"), "a").join(labels.toDF("b", "v"), "b").select("u", "v")
         joined = scratch.save(components(edges, scratch, f"turn{turn}").toDF("c", "root"), f"joined{turn}")
         labels = scratch.save(labels.join(joined, "c", "left").select("doc_id", F.coalesce("root", "c").alias("c")), f"labels{turn}")
@@ -355,8 +369,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         for side in ("xc", "yc"):
             pairs = pairs.join(joined.toDF(side, "_root"), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
-        tried = linked.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        pairs = scratch.save(pairs.where("xc <> yc").join(tried, ["x", "y"], "left_anti"), f"rest{turn}")
+        pairs = scratch.save(pairs.where("xc <> yc"), f"rest{turn}")
 
     found = labels.select("doc_id", F.col("c").alias("component_id"))
     out = rows.where("n > 0").join(found, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -366,27 +379,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _looked_up(pairs: DataFrame, texts: DataFrame, label: str, scratch: Scratch) -> DataFrame:
-    """The texts of pairs' documents, with their prefixes under the other orders."""
+    """(doc_id, text) of pairs' documents."""
     ids = scratch.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{label}-ids")
     named = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    return scratch.save(fetched(named, ids).mapInArrow(_live, LIVE), f"{label}-live")
+    return scratch.save(fetched(named, ids), f"{label}-live")
 
 
 def _tried(pairs: DataFrame, live: DataFrame, label: str, scratch: Scratch) -> DataFrame:
-    """(a, b, linked) of pairs (x, xn, y, yn): first the other orders' filters, then the whole sets."""
+    """(a, b, linked) of pairs (x, y, g): candidates of one g share documents, so they are verified in blocks.
+
+    A g's x and y are dealt into chunks of about SIDE; a block is a chunk of either, and gets each of its texts once. No
+    text is shipped for each of its pairs, and no block grows with its g.
+    """
     pairs = scratch.save(pairs, f"{label}-pairs")
-    orders = live.select("doc_id", "second", "third")
-    both = pairs.join(orders.toDF("x", "x2", "x3"), "x").join(orders.toDF("y", "y2", "y3"), "y")
-    enough = least_shared(F.col("xn"), F.col("yn"))
-    # a clash of two tokens within a set must not lower the count: compare with what the smaller side can lose
-    def shared(p: str, q: str) -> Column:
-        lost = (F.size(p) - F.size(F.array_distinct(p))) + (F.size(q) - F.size(F.array_distinct(q)))
-        return F.size(F.array_intersect(p, q)) + lost
-
-    passed = both.where((shared("x2", "y2") >= enough) & (shared("x3", "y3") >= enough)).select("x", "y")
-    whole = live.select("doc_id", "text")
-    joined = passed.join(whole.toDF("y", "right"), "y").join(whole.toDF("x", "left"), "x").select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right")
-    return joined.sortWithinPartitions("a").mapInArrow(_verify, "a long, b long, linked boolean")
+    sizes = scratch.save(pairs.groupBy("g").agg(F.approx_count_distinct("x").alias("nx"), F.approx_count_distinct("y").alias("ny")), f"{label}-sizes")
+    chunk = [F.pmod(F.xxhash64(c), F.ceil(F.col(f"n{c}") / SIDE)).cast("int").alias(f"{c}b") for c in ("x", "y")]
+    dealt = scratch.save(pairs.join(sizes, "g").select("g", *chunk, "x", "y"), f"{label}-blocks")
+    key = ["g", "xb", "yb"]
+    left = dealt.select(*key, F.lit(0).alias("kind"), F.col("x").alias("doc_id")).distinct().withColumn("partners", F.array().cast("array<bigint>"))
+    right = dealt.groupBy(*key, F.col("y").alias("doc_id")).agg(F.collect_list("x").alias("partners")).select(*key, F.lit(1).alias("kind"), "doc_id", "partners")
+    rows = left.unionByName(right).join(live, "doc_id").select(*key, "kind", "doc_id", "partners", "text")
+    return rows.repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(_verify, "a long, b long, linked boolean")
+
+
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """(x, y, g) of pairs between components: g is the one that has more of the pairs, and y is in it."""
+    counts = pairs.select(F.explode(F.array("xc", "yc")).alias("c")).groupBy("c").agg(F.count("*").alias("k"))
+    both = pairs.join(counts.toDF("xc", "xk"), "xc").join(counts.toDF("yc", "yk"), "yc")
+    more = (F.col("xk") > F.col("yk")) | ((F.col("xk") == F.col("yk")) & (F.col("xc") < F.col("yc")))
+    return both.select(F.when(more, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(more, F.col("x")).otherwise(F.col("y")).alias("y"), F.when(more, F.col("xc")).otherwise(F.col("yc")).alias("g"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
