@@ -29,6 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+_held: dict[str, object] = {}
+
+
+def claim(owner: str, forget=None) -> None:
+    """Called where an operator begins in a Python worker: what other operators remember there is forgotten.
+
+    Workers outlive tasks and stages, so what one operator keeps would add to the memory of the next.
+    """
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+    if forget is not None:
+        _held[owner] = forget
+
+
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder, so that lost executors cost no recomputation.
 

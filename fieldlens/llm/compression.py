@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.llm.common import claim
 from fieldlens.llm.labels import remainder, sample
 
 #: Bytes of a dictionary, and of the pieces that are compressed alone with it, so that all of a text meets it.
@@ -124,6 +125,7 @@ def score(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int =
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries and four weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("compression")
         mark = shipped.value.scorer()
         for batch in batches:
             scores = pa.array([mark(t.as_py()) for t in batch.column(1)], pa.float64())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import NO_ID, Scratch, fetched, without
+from fieldlens.llm.common import NO_ID, Scratch, claim, fetched, without
 
 #: Words of a shingle.
 WORDS = 5
@@ -124,6 +124,7 @@ _SEEN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()),
 
 def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (its set's size and 128-bit identity), then one for each counter of the partition."""
+    claim("ngram join")
     loads = np.zeros(CELLS, np.int64)
     for batch in batches:
         out = []
@@ -147,6 +148,7 @@ _POSTINGS = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("n", pa.int
 
 def _post(crowded: np.ndarray, splits: np.ndarray):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram join")
         known: set[bytes] = set()  # a set that repeats in the partition is posted once: its documents are one class
         for batch in batches:
             parts, ns, ids, salts = [], [], [], []
@@ -234,6 +236,7 @@ def similar(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks sorted so that their x texts come before their y texts: the x sets of one block are held, the y stream by."""
+    claim("ngram join")
     block, held = None, {}
     for batch in batches:
         out = []

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import Scratch, group_slots
+from fieldlens.llm.common import Scratch, claim, group_slots
 
 CAPACITY = 1024
 END = 0
@@ -122,6 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """Each document's ids and the end id, cut every capacity ids: PIECES. Null text counts as empty: the end id alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", encoder.cache_clear)
         encode = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

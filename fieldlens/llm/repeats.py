@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import NO_ID, Scratch
+from fieldlens.llm.common import NO_ID, Scratch, claim
 from fieldlens.llm.ngram_join import _mix, _texts
 
 #: Bytes of the strings that count as repeats, and of the prefixes that get the first ranks: doubled once, these reach it.
@@ -121,6 +121,7 @@ class _Merged:
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First round: each leader with the stretch of windows it leads; g ranks its half-length string, k the stretch."""
+    claim("repeats")
     merged = _Merged()
     for batch in batches:
         for doc_id, data in zip(batch.column(0).to_pylist(), _texts(batch, 1)):

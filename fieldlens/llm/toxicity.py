@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.llm.common import claim
 from fieldlens.llm.labels import remainder, sample
 
 #: Bounds of the labelled sample, as for quality.
@@ -218,6 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int =
     kind = pa.list_(pa.struct([("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         index, known = shipped.value, {}
         for batch in batches:
             near = [index.nearest(index.counts(t.as_py(), known)) for t in batch.column(1)]
@@ -233,6 +235,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     shipped = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         index, known = shipped.value, {}
         for batch in batches:
             at = batch.schema.get_field_index("text")
