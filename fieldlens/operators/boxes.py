@@ -4,42 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NMS_SCHEMA = "file string, class_index int, score double, x_min int, y_min int, width int, height int, nms_rank int"
 
+def _overlap(a: Column, b: Column) -> Column:
+    """Intersection over union of two boxes."""
 
-def kept_boxes(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, score: np.ndarray, overlap: float) -> list[int]:
-    """Greedy suppression: by falling score, a box stays if it overlaps none that stayed by more."""
-    kept: list[int] = []
-    area = w * h
-    for i in np.argsort(-score, kind="stable"):
-        iw = np.minimum(x[kept] + w[kept], x[i] + w[i]) - np.maximum(x[kept], x[i])
-        ih = np.minimum(y[kept] + h[kept], y[i] + h[i]) - np.maximum(y[kept], y[i])
-        both = np.clip(iw, 0, None) * np.clip(ih, 0, None)
-        if not len(kept) or not (both / np.maximum(area[kept] + area[i] - both, 1e-12) > overlap).any():
-            kept.append(int(i))
-    return kept
+    def shared(low: str, size: str) -> Column:
+        return F.greatest(F.least(a[low] + a[size], b[low] + b[size]) - F.greatest(a[low], b[low]), F.lit(0))
+
+    both = shared("x_min", "width") * shared("y_min", "height")
+    return both / F.greatest(a["width"] * a["height"] + b["width"] * b["height"] - both, F.lit(1e-12))
 
 
 def suppressed(detections: DataFrame, overlap: float = 0.3, threshold: float = 0.9) -> DataFrame:
-    """Detections of each file that survive suppression, whatever their class, with nms_rank.
+    """Detections of each file that survive greedy suppression, whatever their class, with nms_rank.
 
-    The threshold is filtered before the rows reach Python; one file's boxes are a group, as the rule is sequential.
+    By falling score (then class and place) a box stays if it overlaps none that stayed by more. The rule is sequential,
+    so a file's boxes, some dozens, are folded as one array; nothing leaves the JVM.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "class_index", "x_min", "y_min"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        kept = kept_boxes(*(pdf[c].to_numpy(float) for c in ("x_min", "y_min", "width", "height", "score")), overlap)
-        out = pdf.iloc[kept].copy()
-        out["nms_rank"] = np.arange(len(out), dtype="int32")
-        return out[["file", "class_index", "score", "x_min", "y_min", "width", "height", "nms_rank"]]
-
-    strong = detections.where(F.col("score") > threshold).select(F.col("file").cast("string"), "class_index", "score", "x_min", "y_min", "width", "height")
-    return strong.groupBy("file").applyInPandas(one, NMS_SCHEMA)
+    fields = ["class_index", "x_min", "y_min", "width", "height", "score"]
+    strong = detections.where(F.col("score") > threshold)
+    rows = strong.groupBy("file").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), *fields))).alias("boxes"))
+    none = F.slice("boxes", 1, 0)
+    kept = F.aggregate("boxes", none, lambda held, b: F.when(F.exists(held, lambda k: _overlap(k, b) > overlap), held).otherwise(F.array_append(held, b)))
+    out = rows.select("file", F.posexplode(kept).alias("nms_rank", "b"))
+    return out.select("file", *[F.col(f"b.{c}").alias(c) for c in fields], "nms_rank")
 
 
 def text_bands(boxes: DataFrame, key: str = "file") -> DataFrame:

@@ -337,7 +337,12 @@ def confusion(spark, d):
 
 # --- names
 
-_VOWELS = "translate(lower(n_name), 'aeiou', '')"
+#: Nation names differ in digits, which folding drops; here they are letters.
+_NAME = "translate(lower(n_name), '0123456789_', 'abcdefghijk')"
+
+
+def _name():
+    return F.translate(F.lower("n_name"), "0123456789_", "abcdefghijk")
 
 
 @query(f"""
@@ -354,8 +359,8 @@ def nearest_capped(spark, d):
 
 @query(f"""
 WITH u AS (SELECT r_regionkey, lower(substr(r_name, 1, 2)) AS uf, lower(r_name) AS state FROM region),
-t AS (SELECT n_nationkey AS pos, lower(n_name) || ' ' || uf AS c, lower(n_name) AS m, lower(n_name) || ' ' || state AS f FROM nation JOIN u ON n_regionkey = r_regionkey),
-q AS (SELECT DISTINCT lower(substr(n_name, 1, 4) || substr(n_name, 6)) AS a FROM nation),
+t AS (SELECT n_nationkey AS pos, {_NAME} || ' ' || uf AS c, {_NAME} AS m, {_NAME} || ' ' || state AS f FROM nation JOIN u ON n_regionkey = r_regionkey),
+q AS (SELECT DISTINCT substr({_NAME}, 1, 4) || substr({_NAME}, 6) AS a FROM nation),
 forms AS (SELECT pos, c, 0 AS form, c AS b FROM t UNION ALL SELECT pos, c, 1, m FROM t UNION ALL SELECT pos, c, 2, f FROM t), qn AS (SELECT a, row_number() OVER (ORDER BY a) AS qid FROM q),
 {lcs_cte("SELECT qid * 10000 + pos * 10 + form AS id, a, b FROM qn CROSS JOIN forms").replace("RECURSIVE ", "")},
 s AS (SELECT id // 10000 AS qid, (id // 10) % 1000 AS pos, id % 10 AS form, a, length(a) + length(b) - 2 * lcs AS err, 200.0 * lcs / (length(a) + length(b)) AS score FROM lcs),
@@ -364,9 +369,8 @@ SELECT a AS text, upper(substr(c, 1, length(c) - 3)) || ',' || upper(right(c, 3)
 def nearest_city(spark, d):
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     states = region.select("r_regionkey", F.lower(F.substring("r_name", 1, 2)).alias("uf"), F.lower("r_name").alias("name"))
-    # towns of nations whose regions share two letters get the first state of them, as a table by state must
-    towns = nation.join(states, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("pos"), F.concat_ws(" ", F.lower("n_name"), "uf").alias("city_uf"))
-    asked = nation.select(F.lower(F.concat(F.substring("n_name", 1, 4), F.substring("n_name", F.lit(6), F.length("n_name")))).alias("text"))
+    towns = nation.join(states, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("pos"), F.concat_ws(" ", _name(), "uf").alias("city_uf"))
+    asked = nation.select(F.concat(F.substring(_name(), 1, 4), F.substring(_name(), F.lit(6), F.length("n_name"))).alias("text"))
     return resolve.cities(asked, towns, states.select("uf", "name"), special={})
 
 
