@@ -30,10 +30,12 @@ def _sums(d: Column, at: Column, length: int, base: int) -> Column:
     """Whether both last digits of the `length` digits from a place are right. The second check may read the first digit as
     it stands: where that is wrong, so is the number."""
 
-    def digit(n: int) -> Column:
-        return mod11(sum((F.get(d, at + (n - 1 - y)) * (y % (base - 1) + 2) for y in range(n)), F.lit(0)))
+    def right(n: int) -> Column:
+        total = sum((F.get(d, at + (n - 1 - y)) * (y % (base - 1) + 2) for y in range(n)), F.lit(0))
+        last = F.get(d, at + n)  # 11 less the remainder, so both add up to a multiple; 0 also for a remainder of 1
+        return (F.pmod(total + last, F.lit(11)) == 0) | ((last == 0) & (F.pmod(total, F.lit(11)) == 1))
 
-    return (digit(length - 2) == F.get(d, at + length - 2)) & (digit(length - 1) == F.get(d, at + length - 1))
+    return right(length - 2) & right(length - 1)
 
 
 def _valid(s: Column, length: int, base: int) -> Column:
