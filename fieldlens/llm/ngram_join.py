@@ -104,18 +104,21 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
 
 def prefix_length(n):
     """Of a set of n, so many first tokens hold one of any set of Jaccard similarity 0.8 or more."""
-    if isinstance(n, Column):
-        return n - F.ceil(n * 4 / F.lit(5)) + 1
     return n - (4 * n + 4) // 5 + 1
 
 
-def in_order(tokens: np.ndarray, order: int, crowded: np.ndarray | None = None) -> np.ndarray:
-    """The prefix of a set under one global order: by class of the token's counter, then by the order's scramble."""
+def posted_length(n):
+    """First tokens that are posted: three tenths, more than completeness needs. So a linked pair shares a tenth of either
+    set among them, and documents that only share a passage are told by counting, before any pair is made."""
+    return n - (7 * n + 9) // 10 + 1
+
+
+def in_order(tokens: np.ndarray, order: int, length: int, crowded: np.ndarray | None = None) -> np.ndarray:
+    """The first tokens of a set under one global order: by class of the token's counter, then by the order's scramble."""
     key = _mix(tokens, order)
     if crowded is not None:
         key = (key >> np.uint64(6)) | (crowded[(tokens % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(58))
-    p = int(prefix_length(len(tokens)))
-    return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
+    return tokens[np.argpartition(key, length - 1)[:length]] if length < len(tokens) else tokens
 
 
 SEEN = "doc_id long, n long, a long, b long, cell int, load long"
@@ -158,7 +161,7 @@ def _post(crowded: np.ndarray, splits: np.ndarray):
                 if not len(tokens) or name in known:
                     continue
                 known.add(name)
-                prefix = in_order(tokens, 1, crowded)
+                prefix = in_order(tokens, 1, posted_length(len(tokens)), crowded)
                 split = splits[(prefix % np.uint64(CELLS)).astype(np.int64)]
                 salts.append((hash(doc_id) % split).astype(np.int32))
                 parts.append(prefix)
@@ -221,7 +224,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _prepared(data: np.ndarray) -> tuple[np.ndarray, ...]:
     """A text's set, and its prefixes under the second and the third order."""
     tokens = shingles(data)
-    return tokens, *(np.sort(in_order(tokens, order)) for order in (2, 3))
+    return tokens, *(np.sort(in_order(tokens, order, prefix_length(len(tokens)))) for order in (2, 3))
 
 
 def similar(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> bool:
@@ -258,11 +261,18 @@ def fits(n: Column, m: Column) -> Column:
     return (F.greatest(n, m) * 4 <= F.least(n, m) * 5)
 
 
+def _rest(n: Column) -> Column:
+    return F.ceil(n * 7 / F.lit(10)) - 1
+
+
 def least_shared(n: Column, m: Column) -> Column:
-    """Prefix tokens that a linked pair shares at least, under any order: what its overlap exceeds the longer rest by."""
-    overlap = F.ceil((n + m) * 4 / F.lit(9))
-    rest = F.greatest(n, m)
-    return F.greatest(F.lit(1), overlap - (F.ceil(rest * 4 / F.lit(5)) - 1))
+    """Posted tokens that a linked pair shares at least: what its overlap exceeds the longer unposted rest by."""
+    return F.greatest(F.lit(1), F.ceil((n + m) * 4 / F.lit(9)) - _rest(F.greatest(n, m)))
+
+
+def least_posted(n: Column) -> Column:
+    """Posted tokens that a set of n shares at least with any linked one: least_shared for the size nearest to its limit."""
+    return F.greatest(F.lit(1), F.ceil(n * 4 / F.lit(5)) - _rest(n))
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -325,12 +335,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt")
     shared = scratch.save(dealt.mapInArrow(_shared(splits), SHARED), "shared")
 
-    # One try for each document first. An original shares all its prefix, its edited copies only what they left: of a
-    # token's documents the one that shares the largest part of its prefix leads. A quarter of the tokens is enough to
-    # find leaders; every pair that this leaves open is looked at below.
-    part = shared.groupBy("doc_id", "n").agg((F.count("*") / prefix_length(F.col("n"))).alias("part"))
-    some = shared.where(F.pmod("token", F.lit(4)) == 0).join(scratch.save(part, "part"), ["doc_id", "n"])
-    some = scratch.save(some, "some")
+    # Documents with too few shared tokens for any link are out. Of a token's other documents the one that shares the
+    # largest part of its prefix leads: an original shares all of it, its edited copies what they left. One try for each
+    # document with such a leader comes first, by a quarter of the tokens; what that leaves open is looked at below.
+    part = shared.groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least_posted(F.col("n")))
+    part = scratch.save(part.select("doc_id", (F.col("k") / (F.col("n") - _rest(F.col("n")))).alias("part")), "part")
+    shared = scratch.save(fetched(shared, part.select("doc_id").distinct()), "able")
+    some = scratch.save(shared.where(F.pmod("token", F.lit(4)) == 0).join(part, "doc_id"), "some")
     leads = some.groupBy("token").agg(F.max(F.struct("part", "doc_id", "n")).alias("lead")).select("token", F.col("lead.doc_id").alias("x"), F.col("lead.n").alias("xn"))
     stars = some.select("token", F.col("doc_id").alias("y"), F.col("n").alias("yn")).join(scratch.save(leads, "leads"), "token")
     stars = stars.where((F.col("x") != F.col("y")) & fits(F.col("xn"), F.col("yn"))).groupBy("x", "xn", "y", "yn").agg(F.count("*").alias("k"))
