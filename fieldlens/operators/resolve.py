@@ -130,3 +130,25 @@ def headers(inputs: DataFrame, known: DataFrame, text: str = "text") -> DataFram
     best = pairs.groupBy("plain").agg(F.max_by(F.struct("header", "score"), order).alias("b"), F.count("*").alias("n"))
     chosen = F.when((F.col("b.score") >= 70) | (F.col("n") == 1), F.col("b.header")).otherwise(F.col("plain"))
     return texts.join(best, "plain", "left").select("text", F.upper(F.coalesce(chosen, "plain")).alias("header"))
+
+
+def only_row(rows: DataFrame, condition: Column) -> DataFrame:
+    """The one row that meets a condition; several stop the query with an error where it runs, none gives none."""
+    found = rows.where(condition)
+    n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    checked = found.limit(2).withColumn("_n", n)  # two rows are enough to tell
+    return checked.where(F.assert_true(F.col("_n") == 1, "more than one row meets the condition").isNull()).drop("_n")
+
+
+def one_random(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """A row drawn evenly: the least of seeded random numbers, found in each partition first."""
+    return rows.withColumn("_r", F.rand(seed)).orderBy("_r").limit(1).drop("_r")
+
+
+def combined(items: Column, k: int) -> Column:
+    """All combinations of k items of an array, in order."""
+    out = F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda i: F.array(i))
+    n = F.size(items)
+    for _ in range(k - 1):
+        out = F.flatten(F.transform(out, lambda c: F.when(F.element_at(c, -1) + 1 <= n - 1, F.transform(F.sequence(F.element_at(c, -1) + 1, n - 1), lambda j: F.concat(c, F.array(j)))).otherwise(F.array().cast("array<array<int>>"))))
+    return F.transform(out, lambda c: F.transform(c, lambda i: F.get(items, i)))
