@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ WORDS = 5
 CELLS = 1 << 16
 #: Postings of one token that a task gets before the token is split.
 RUN = 50_000
+#: Rows that answer a chunk of asking documents in one part.
+ANSWERS = 100_000
 #: Text bytes hashed at a time.
 CHUNK = 1 << 20
 
@@ -256,6 +259,56 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _LINK)], schema=_LINK)
 
 
+PAIRS = "x long, xn long, xc long, y long, yn long, yc long, k long"
+_PAIRS = pa.schema([(n, pa.int64()) for n in ("x", "xn", "xc", "y", "yn", "yc", "k")])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that share enough posted tokens, from blocks (chunk, part) sorted by kind and document.
+
+    A block's asking documents (kind 0) are held by token; the others stream by, one at a time, and count what they share
+    with each. So a pair that shares a hundred tokens is made once, not a hundred times. The asking document is in the
+    component that comes first by size.
+    """
+    claim("ngram join")
+    block, holders, about = None, {}, []
+    doc, shared = None, []
+
+    def counted() -> list[tuple]:
+        out = []
+        if doc is None:
+            return out
+        y, yn, yc, ys = doc
+        for i, k in Counter(shared).items():
+            x, xn, xc, xs = about[i]
+            if (xs, xc) < (ys, yc) and 4 * max(xn, yn) <= 5 * min(xn, yn):
+                enough = max(1, -(-(4 * (xn + yn)) // 9) - (-(-7 * max(xn, yn) // 10) - 1))
+                if k >= enough:
+                    out.append((x, xn, xc, y, yn, yc, k))
+        return out
+
+    for batch in batches:
+        out: list[tuple] = []
+        for chunk, part, kind, token, *row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if (chunk, part) != block:
+                out += counted()
+                block, holders, about, doc, shared = (chunk, part), {}, [], None, []
+            row = tuple(row)
+            if kind == 0:
+                if not about or about[-1] != row:
+                    about.append(row)
+                holders.setdefault(token, []).append(len(about) - 1)
+            else:
+                if doc != row:
+                    out += counted()
+                    doc, shared = row, []
+                shared += holders.get(token, ())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_PAIRS)
+    if last := counted():
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*last)], schema=_PAIRS)
+
+
 def fits(n: Column, m: Column) -> Column:
     """Sizes that allow a similarity of 0.8."""
     return (F.greatest(n, m) * 4 <= F.least(n, m) * 5)
@@ -353,19 +406,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = _tried(stars, _looked_up(stars, texts, "stars", scratch), "stars", scratch).where("linked")
     edges = links.join(nodes.toDF("a", "u"), "a").join(nodes.toDF("b", "v"), "b").select("u", "v")
     first = components(edges, scratch, "first").withColumnRenamed("node", "rep")
-    placed = scratch.save(nodes.join(first, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("c")), "placed")
-    posted = scratch.save(shared.join(placed, "doc_id"), "posted")
-    # In a token's documents those of its largest component meet only the others.
-    sizes = posted.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("several"))
-    tops = scratch.save(sizes.where("several > 1").select("token", F.col("top.c").alias("top")), "tops")
-    y = scratch.save(posted.join(tops, "token").toDF("token", "y", "yn", "yc", "top"), "open")
-    x = y.where("yc <> top").select("token", F.col("y").alias("x"), F.col("yn").alias("xn"), F.col("yc").alias("xc"))
-    pairs = x.join(y, "token").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("top")) | (F.col("x") < F.col("y"))) & fits(F.col("xn"), F.col("yn")))
-    first_is_less = F.col("x") < F.col("y")
-    ordered = [F.when(first_is_less, F.col(own)).otherwise(F.col(other)).alias(own) for own, other in (("x", "y"), ("xn", "yn"), ("xc", "yc"), ("y", "x"), ("yn", "xn"), ("yc", "xc"))]
-    pairs = pairs.select(*ordered)
-    pairs = pairs.groupBy("x", "xn", "xc", "y", "yn", "yc").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(F.col("xn"), F.col("yn")))
-    pairs, labels, turn = scratch.save(pairs, "rest0"), placed, 0
+    placed = nodes.join(first, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("c"))
+    placed = scratch.save(placed, "placed")
+    held = scratch.save(placed.groupBy("c").agg(F.count("*").alias("s")), "sizes")
+    posted = scratch.save(shared.join(placed.join(held, "c"), "doc_id").select("token", "doc_id", "n", "c", "s"), "posted")
+    pairs, labels, turn = scratch.save(_open_pairs(posted, scratch), "rest0"), placed, 0
     live = _looked_up(pairs, texts, "rest", scratch)
     while not pairs.isEmpty():
         # the likeliest pair of any two components first: what it joins needs no further test; once that joins none, all
@@ -392,6 +437,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.unionByName(alone).select(back[0], "n_shingles", back[1])
 
 
+def _open_pairs(posted: DataFrame, scratch: Scratch) -> DataFrame:
+    """PAIRS between components that share enough of (token, doc_id, n, c, s), s being the size of component c.
+
+    Of a token's components, documents of all but the largest ask, and the larger ones answer, so that a pair is always
+    asked from the same side. Asking documents that have their least token in common are likely to share the others; they
+    form chunks of about SIDE, and a chunk gets each answering row once. A chunk's answers are dealt into parts by their
+    expected number, so a token that very many documents hold makes more parts, not a larger one.
+    """
+    order = F.struct("s", "c")
+    tops = posted.groupBy("token").agg(F.max(order).alias("top"), F.min(order).alias("low"), F.count("*").alias("df")).where("top <> low").select("token", "top", "df")
+    tops = scratch.save(tops, "tops")
+    rows = scratch.save(posted.join(tops, "token"), "open")
+    asking = rows.where(order < F.col("top"))
+    homes = scratch.save(asking.groupBy("doc_id").agg(F.min(F.xxhash64("token")).alias("home")), "homes")
+    crowds = homes.groupBy("home").agg(F.count("*").alias("m"))
+    chunk = F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / SIDE)))
+    homes = scratch.save(homes.join(crowds, "home").select("doc_id", chunk.alias("chunk")), "chunks")
+    asking = scratch.save(asking.join(homes, "doc_id").select("chunk", "token", "doc_id", "n", "c", "s", "df"), "asking")
+    wanted = scratch.save(asking.groupBy("chunk", "token").agg(F.first("df").alias("df")), "wanted")
+    parts = scratch.save(wanted.groupBy("chunk").agg(F.ceil(F.sum("df") / ANSWERS).cast("int").alias("parts")), "parts")
+    own = ["token", F.col("doc_id"), F.col("n").cast("long").alias("n"), "c", "s"]
+    left = asking.join(parts, "chunk").select("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), *own)
+    right = rows.drop("df", "top").join(wanted.join(parts, "chunk").select("chunk", "token", "parts"), "token")
+    right = right.select("chunk", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), *own)
+    dealt = left.unionByName(right).repartition("chunk", "part").sortWithinPartitions("chunk", "part", "kind", "doc_id")
+    return dealt.mapInArrow(_count, PAIRS)
+
+
 def _looked_up(pairs: DataFrame, texts: DataFrame, label: str, scratch: Scratch) -> DataFrame:
     """(doc_id, text) of pairs' documents."""
     ids = scratch.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{label}-ids")
