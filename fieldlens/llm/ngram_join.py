@@ -105,6 +105,13 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
         yield np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is made of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def prefix_length(n):
     """Of a set of n, so many first tokens hold one of any set of Jaccard similarity 0.8 or more."""
     return n - (4 * n + 4) // 5 + 1
@@ -132,7 +139,7 @@ def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (its set's size and 128-bit identity), then one for each counter of the partition."""
     claim("ngram join")
     loads = np.zeros(CELLS, np.int64)
-    for batch in batches:
+    for batch in _small(batches):
         out = []
         for doc_id, data in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
             tokens = shingles(data)
@@ -156,7 +163,7 @@ def _post(crowded: np.ndarray, splits: np.ndarray):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram join")
         known: set[bytes] = set()  # a set that repeats in the partition is posted once: its documents are one class
-        for batch in batches:
+        for batch in _small(batches):
             parts, ns, ids, salts = [], [], [], []
             for doc_id, data in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
                 tokens = shingles(data)

@@ -17,7 +17,7 @@ from fieldlens.llm.common import Scratch, claim, group_slots
 
 CAPACITY = 1024
 END = 0
-#: Words whose ids a worker keeps; beyond it the memory starts afresh.
+#: Words whose ids a worker keeps, at some 200 bytes each; where other stages need the memory, fewer do at more CPU time.
 REMEMBERED = 1_600_000
 #: Rows of the slot table up to which it is broadcast; a plain join beyond.
 SLOTS_BROADCAST = 200_000
@@ -28,15 +28,15 @@ _TURNS = re.compile(r"(?<=[^\W\d_])(?=[.,])|(?<=[.,])(?=\n)|(?<=[.,\n])(?=[^\W\d
 class _Remembered(dict):
     """Ids of words, made on first use. The older half goes when it is full, except what is used again."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             ids = self.make(word)
-        if len(self) >= REMEMBERED // 2:
+        if len(self) >= self.most // 2:
             self.old = dict(self)
             self.clear()
         self[word] = ids
@@ -56,7 +56,7 @@ class WordEncoder:
     string, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,8 +64,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare = _Remembered(self._encode)
-        self.led = _Remembered(self._led)
+        self.bare = _Remembered(self._encode, remembered // 4)
+        self.led = _Remembered(self._led, remembered)
         self.merge = self.tokenizer.model.tokenize
         self.bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 in order
@@ -109,21 +109,21 @@ class WordEncoder:
 
 
 @cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, remembered: int) -> WordEncoder:
     """One for each Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, remembered)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """Each document's ids and the end id, cut every capacity ids: PIECES. Null text counts as empty: the end id alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing", encoder.cache_clear)
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, remembered)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -195,7 +195,7 @@ def slots(patterns: list[tuple[int, list[int]]]) -> tuple[list[tuple[int, int, i
     return out, base
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: PIECES, sequence_id, offset.
 
     Documents are cut every capacity ids. Full pieces are sequences of their own. The other pieces' lengths, at most
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    every = scratch.save(pieces(docs, tokenizer, capacity), "pieces")
+    every = scratch.save(pieces(docs, tokenizer, capacity, remembered), "pieces")
     rest = every.where(F.col("length") < capacity)
     histogram = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # < capacity rows
     places, sequences = slots(shortest_pack_first(histogram, capacity))
