@@ -9,6 +9,8 @@ from fieldlens.llm import block_naming, mixing, ngram_join, packing, toxicity
 from fieldlens.llm.common import Scratch
 
 WEIGHTS = [1.0, 2.0, 3.0]
+#: Words a packing worker keeps here, where the stages before it have left executors less memory.
+REMEMBERED = 300_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token's place in the sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
