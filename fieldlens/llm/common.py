@@ -41,6 +41,19 @@ def claim(owner: str, forget=None) -> None:
         _held.pop(other)()
     if forget is not None:
         _held[owner] = forget
+    _give_back()
+
+
+def _give_back() -> None:
+    """Memory that is free in this process goes back to the system, as far as the platform lets it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Scratch:

@@ -30,7 +30,7 @@ LEAST = 4
 #: How sure a term must be (twice the log-likelihood gain of splitting by it).
 SURE = 26.0
 #: Words whose terms a worker keeps.
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 
 _EDGES = ".,;:!?\"'()[]{}<>|*&%$#@+=~^_-/\\`"
 
