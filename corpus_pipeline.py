@@ -10,7 +10,7 @@ from fieldlens.llm.common import Scratch
 
 WEIGHTS = [1.0, 2.0, 3.0]
 #: Words a packing worker keeps here, where the stages before it have left executors less memory.
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
