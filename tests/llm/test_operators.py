@@ -259,6 +259,24 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     assert got(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)), "doc_id", "n_shingles", "component_id") == near(rows)
 
 
+def test_near_duplicates_of_few_words(spark):
+    """Texts of 8 words and the same with one more: 4 shingles and 5, that share one posted token at least."""
+    rows = []
+    for i in range(150):
+        words = [f"p{i}w{j}" for j in range(9)]
+        rows += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    want = near(rows)
+    assert all(c % 2 == 0 for _, _, c in want)
+    assert got(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_least_posted_is_a_lower_bound(spark):
+    sizes = spark.createDataFrame([(n, m) for n in range(1, 121) for m in range(-(-4 * n // 5), 5 * n // 4 + 1)], "n int, m int")
+    shared = ngram_join.least_shared(F.col("n"), F.col("m"))
+    out = sizes.groupBy("n").agg(F.min(shared).alias("least")).withColumn("bound", ngram_join.least_posted(F.col("n"))).collect()
+    assert len(out) == 120 and all(r.bound == r.least for r in out)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (200, 200)]
     out = ngram_join.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c").collect()
