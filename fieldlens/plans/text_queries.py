@@ -143,6 +143,14 @@ def strict_date(spark, d):
     return rows.select("o_orderkey", F.date_format(text.strict_date(_misread()), "yyyy-MM-dd").alias("day"))
 
 
+@query(f"""
+WITH s AS (SELECT o_orderkey, {_MISREAD} AS s FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_matches(s, '/[0-9]{{4}}$') THEN strftime(try_strptime(s, '%d/%m/%Y'), '%Y-%m-%d') END AS day FROM s""")
+def strict_date_all(spark, d):
+    """Every form of every order; a year has four digits."""
+    return table(spark, d, "orders").select("o_orderkey", F.date_format(text.strict_date(_misread()), "yyyy-MM-dd").alias("day"))
+
+
 @query("""
 WITH y AS (SELECT o_orderkey, (o_orderkey % 100)::INT AS y2, year(o_orderdate)::INT AS now FROM orders), o AS (SELECT *, y2 + (now // 100) * 100 - now AS f FROM y)
 SELECT o_orderkey, (now + CASE WHEN f < -50 THEN f + 100 WHEN f >= 50 THEN f - 100 ELSE f END)::INT AS rounded, strftime(o_orderdate, '%Y%m%d') AS stamp FROM o JOIN orders USING (o_orderkey)""")

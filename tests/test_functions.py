@@ -1,5 +1,6 @@
 """Vectors worked out by hand, and properties."""
 
+import datetime
 import difflib
 import random
 
@@ -143,6 +144,16 @@ def test_cities(spark):
     assert out["Sant0s"] == out["santos sp"] == "SANTOS, SP" and out["S. Paulo"] == "SAO PAULO, SP" and out[""] == ""
 
 
+def test_strict_date_of_every_form(spark, tmp_path):
+    """All six misread forms are answered; by the rule only the first one is a date."""
+    from fieldlens.plans import catalog
+
+    rows = [(k, datetime.date(1992 + k % 7, k % 12 + 1, k % 28 + 1)) for k in range(600)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    out = {r.o_orderkey: r.day for r in catalog.queries()["strict_date_all"](spark, str(tmp_path)).collect()}
+    assert out == {k: day.isoformat() if k % 6 == 0 else None for k, day in rows}
+
+
 def test_timers(spark):
     marks = [(1, "a", t, m) for t, m in (("2020-01-01 00:00:00", "start"), ("2020-01-01 00:00:01", "start"), ("2020-01-01 00:00:03", "end"), ("2020-01-01 00:00:09", "end"))]
     df = spark.createDataFrame(marks, "request int, clock string, ts string, mark string").withColumn("ts", F.to_timestamp("ts"))
