@@ -511,8 +511,9 @@ def _grouped(pairs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, the one with the component's id, in docs' columns.
 
-    Rows that share a doc_id stay together.
+    Rows that share a doc_id stay together. A null doc_id comes first, so where a component has such rows they all stay
+    and its other rows go.
     """
     found = near_duplicates(docs).where("doc_id is not null")
-    drop = Scratch(docs.sparkSession, "near-drop").save(found.where("doc_id <> component_id").select("doc_id").distinct(), "ids")
+    drop = Scratch(docs.sparkSession, "near-drop").save(found.where("not doc_id <=> component_id").select("doc_id").distinct(), "ids")
     return without(docs, drop)

@@ -277,6 +277,14 @@ def test_least_posted_is_a_lower_bound(spark):
     assert len(out) == 120 and all(r.bound == r.least for r in out)
 
 
+def test_representatives_of_a_group_with_a_null_id(spark):
+    base, other = ([f"{c}{i}" for i in range(80)] for c in "ab")
+    rows = [(None, " ".join(base)), (None, " ".join(other)), (9, " ".join(f"c{i}" for i in range(80))), (10, ""), (11, None)]
+    rows += [(i, " ".join([*(base if i < 6 else other), f"e{i}"])) for i in range(1, 9)]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(rows[:5])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (200, 200)]
     out = ngram_join.components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c").collect()
