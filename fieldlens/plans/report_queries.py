@@ -119,6 +119,14 @@ def combinations(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.array_join(pairs, ",").alias("pairs"))
 
 
+@query("""
+SELECT n_nationkey, array_to_string(flatten(list_transform(range(1, length(n_name)), lambda i: list_transform(range(i + 1, length(n_name) + 1), lambda j: substr(n_name, i, 1) || substr(n_name, j, 1)))), ',') AS pairs FROM nation""")
+def combinations_whole(spark, d):
+    """Letter pairs of the whole name."""
+    pairs = F.transform(resolve.combined(F.split("n_name", ""), 2), lambda c: F.array_join(c, ""))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(pairs, ",").alias("pairs"))
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
 def single_lookup(spark, d):
     return resolve.only_row(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("n_nationkey") == 7)

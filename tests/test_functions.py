@@ -154,6 +154,17 @@ def test_strict_date_of_every_form(spark, tmp_path):
     assert out == {k: day.isoformat() if k % 6 == 0 else None for k, day in rows}
 
 
+def test_combinations_of_whole_names(spark, tmp_path):
+    from itertools import combinations
+
+    from fieldlens.plans import catalog
+
+    names = ["NATION_17", "ab", "abcde"]
+    spark.createDataFrame(list(enumerate(names)), "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    out = {r.n_nationkey: r.pairs for r in catalog.queries()["combinations_whole"](spark, str(tmp_path)).collect()}
+    assert out == {i: ",".join(a + b for a, b in combinations(s, 2)) for i, s in enumerate(names)}
+
+
 def test_timers(spark):
     marks = [(1, "a", t, m) for t, m in (("2020-01-01 00:00:00", "start"), ("2020-01-01 00:00:01", "start"), ("2020-01-01 00:00:03", "end"), ("2020-01-01 00:00:09", "end"))]
     df = spark.createDataFrame(marks, "request int, clock string, ts string, mark string").withColumn("ts", F.to_timestamp("ts"))
