@@ -5,71 +5,65 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
-# Code points that fold to a letter they only look like, by target. "a-b" is a run.
-LOOKS_LIKE = """
-l 124 426
-i 161 305 1030 1110 1216 1231
-c 162 390-0 391-392 962 986-987 1010 1017 1057 1089 1152-1153 1194-1195
-e 163 198 230 359 400 425 440-441 482-483 508-509 571-572 582-583 917 931 949 958 1013 1028 1045 1077 1108 1212-1215
-o 164 240 338-339 390 415 730 755 916-0 920 927 948 952 959 963 977 1054 1060 1086 1138-1139 1254-1259
-y 165 404 435-436 590-591 933 947 978-980 1059 1091 1198-1199
-2 178 423-424
-3 179 398 439 494-495 540-541 658 1014 1047 1069 1079 1101 1176-1177 1246-1249 1260-1261
-u 181 306 956 965
-1 185
-d 208 222 272-273 393-396 399 477 1240-1243
-x 215 739 935 967 983 1061 1093 1202-1203 1276-1277
-0 216 248 510-511
-b 223 254 384-389 421 579 914 946 976 1041-1042 1066 1068 1073-1074 1098 1100 1122-1123 1164-1165
-h 294-295 542-543 688-689 905 919 1035 1053 1085 1186-1189 1210-1211 1223-1226
-j 307 584-585 690 1011 1032 1112
-k 312 408-409 922 954 975 1050 1082 1178-1185 1219-1220
-n 329-331 413-414 544 925 942 951 960
-f 358 401-402 429 589 988-989 1170-1171 7835
-g 397 403 484-485
-w 412 503-0 695 969 994-995 1064-1065 1096-1097 1120-1121 1150-1151
-p 420 447 503 929 961 1020 1056 1088 1166-1167 8058-8059
-r 422 588 691
-t 427-428 430 573 932 964 1058 1090 1196-1197
-z 437-438 548-549 576 918
-5 444-445
-a 570 913 916 923 945 1040 1044 1072 1076
-s 575 738 1029 1109
-7 577-578
-q 586-587 984-985
-v 957 1140-1143
-m 924 1018-1019 1052 1084 1229-1230
-4 1062-1063 1094-1095 1206-1207 1227-1228 1268-1269
-i 921 953
-l 321-322
-- 8208-8213 8315 8331 8722 9472
-º 176 8304
-"""
-# Ranges in which a letter with marks folds to its bare letter, and code points there that stay.
+# Characters that fold to a letter, digit or mark because of how they look, by target.
+LOOKS_LIKE = {
+    '-': "‐‑‒–—―−─",
+    '0': "ø",
+    '1': "¹",
+    '2': "²ƨ",
+    '3': "³Ǝȝʒ϶зэҙӡ",
+    '4': "цчҷӌ",
+    '5': "ƽ",
+    '7': "ɂ",
+    'a': "ȺΔΛαад",
+    'b': "ßþƀƁƃƅƥβбвъьѣҍ",
+    'c': "¢ƈςϛϹсҁҫ",
+    'd': "ÐÞđƉƊƌƏǝәₔ",
+    'e': "£æŧƐƩƹȼɇΣεξеєҽҿӕ",
+    'f': "Ŧƒƭɍϝғẛ",
+    'g': "ƍƓǥ",
+    'h': "ħʰʱΗЋнңҥһӈӊ",
+    'i': "¡ıιіӏ",
+    'j': "ĳɉʲϳј",
+    'k': "ĸƙκϏкқҝҟҡӄ",
+    'l': "|łƪ",
+    'm': "Μϻмӎ",
+    'n': "ŉŋƝƞΝηπ",
+    'o': "¤ðœƆƟ˚˳δθοσФоѳө",
+    'p': "Ƥƿρϼрҏὺύ",
+    'q': "ǪǫǬǭɋϙ",
+    'r': "ƦɌʳ",
+    's': "ȿˢѕ",
+    't': "ƫƬƮȽτтҭ",
+    'u': "µĲμυ",
+    'v': "νѵ",
+    'w': "Ɯʷωϣшщѡѿ",
+    'x': "×ˣχϗхҳӽ",
+    'y': "¥ƔƴɏʸΥγуү",
+    'z': "ƶȥɀΖ",
+    'º': "°⁰",
+}
+# Ranges and single code points in which a letter with marks folds to its bare letter, and what stays there.
 RANGES = (192, 591), (902, 1019), (1024, 1277), (7936, 8188), (8305, 8348)
 SINGLE = 7682, 7683, 7690, 7691, 7710, 7711, 7744, 7745, 7766, 7767, 7776, 7777, 7786, 7787, 7808, 7809, 7810, 7811, 7812, 7813, 7868, 7869, 7922, 7923
-STAY = 383, *range(452, 461), 497, 498, 499, 912, 8126
+STAY = 383, *range(452, 461), *range(497, 500), *range(911, 913), 915, 926, 928, 937, 982, *range(1008, 1010), 1012, *range(8040, 8048), *range(8104, 8112), 8126, *range(8186, 8189)
 
 
 @cache
 def fold_table() -> dict[str, str]:
-    """Character to character: looks first, then the bare letter (lower case) of what carries marks."""
-    looks: dict[int, str] = {}
-    for line in LOOKS_LIKE.split("\n"):
-        target, *runs = line.split() or [""]
-        for run in runs:
-            first, _, last = run.partition("-")
-            for point in range(int(first), int(last or first) + 1):
-                looks.setdefault(point, target)
-    table = dict(looks)
-    for point in [p for a, b in RANGES for p in range(a, b + 1)] + list(SINGLE):
-        if point in table or point in STAY:
-            continue
-        base = unicodedata.normalize("NFKD", chr(point))[:1]
-        if base == chr(point) and not (base.isdigit() and point > 8000):
-            continue
-        if base.isascii() and base.isalnum():
-            table[point] = base.lower()
-        elif ord(base) in looks and ord(base) != point:
-            table[point] = looks[ord(base)]
-    return {chr(p): t for p, t in sorted(table.items())}
+    """Character to character: looks first, then the bare letter of what carries marks, then the looks of the small letter."""
+    looks = {ch: target for target, chars in LOOKS_LIKE.items() for ch in chars}
+
+    def folded(ch: str) -> str | None:
+        if ch in looks:
+            return looks[ch]
+        bare = unicodedata.normalize("NFKD", ch)[:1]
+        for other in (bare, bare.lower(), ch.lower()):
+            if other != ch and other.isascii() and other.isalnum():
+                return other.lower()
+            if other in looks:
+                return looks[other]
+        return None
+
+    points = {p for a, b in RANGES for p in range(a, b + 1)}.union(SINGLE).difference(STAY).union(map(ord, looks))
+    return {chr(p): target for p in sorted(points) if (target := folded(chr(p))) is not None}
