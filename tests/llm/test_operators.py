@@ -270,11 +270,13 @@ def test_near_duplicates_of_few_words(spark):
     assert got(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "n_shingles", "component_id") == want
 
 
-def test_least_posted_is_a_lower_bound(spark):
-    sizes = spark.createDataFrame([(n, m) for n in range(1, 121) for m in range(-(-4 * n // 5), 5 * n // 4 + 1)], "n int, m int")
-    shared = ngram_join.least_shared(F.col("n"), F.col("m"))
-    out = sizes.groupBy("n").agg(F.min(shared).alias("least")).withColumn("bound", ngram_join.least_posted(F.col("n"))).collect()
-    assert len(out) == 120 and all(r.bound == r.least for r in out)
+def test_fewest_shared_is_a_lower_bound(spark):
+    sizes = spark.range(1, 301).select(F.col("id").alias("n")).withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * 4 / F.lit(5)), F.floor(F.col("n") * 5 / F.lit(4)))))
+    out = sizes.withColumn("shared", ngram_join.least_shared(F.col("n"), F.col("m"))).collect()
+    for r in out:
+        assert r["shared"] == ngram_join.shared_at_least(r["n"], r["m"])
+        assert r["shared"] >= ngram_join.fewest_shared(r["n"])
+    assert ngram_join.fewest_shared(4) == 1
 
 
 def test_representatives_of_a_group_with_a_null_id(spark):
