@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlens.llm.common import Scratch
+
 
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor (a null id: that of the empty text)."""
@@ -16,8 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_ou
 
     The balanced sample has at most per_class rows of either label, from 13 of 16 rows; the natural one at most
     `natural` of the other rows as they come. Rows are taken in the order of an MD5 of their id, so the same ones at
-    every run, and each sample ends before max_bytes of text. These bounds, not the table, size what reaches the driver.
-    Rows without a label or text are left out; of several labels of a document the largest counts.
+    every run, those of more than a fiftieth of max_bytes last, so that no long text takes the place of many; each sample
+    ends before max_bytes of text. These bounds, not the table, size what reaches the driver. Rows without a label or text are left out; of several labels of a document the largest counts.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(remainder(F.col("doc_id"), divisor) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -28,12 +30,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_ou
     if not any(chosen):
         return [], []
     ids = docs.sparkSession.createDataFrame([(d,) for part in chosen for _, d, _ in part], "doc_id long")
-    held = docs.where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi")
+    # one scan of the texts; the sample's own rows are written once and read twice
+    held = Scratch(docs.sparkSession, "labels").save(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(ids), "doc_id", "left_semi"), "held")
     sizes = {r["doc_id"]: r["n"] for r in held.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()}
 
     def within(rows: list[tuple]) -> list[tuple]:
         kept, used = [], 0
-        for row in sorted(rows):
+        for row in sorted(rows, key=lambda r: (sizes.get(r[1], 0) > max_bytes // 50, r)):
             n = sizes.get(row[1])
             if n is not None and used + n <= max_bytes:
                 kept.append(row)

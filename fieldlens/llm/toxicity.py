@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,22 +15,22 @@ from pyspark.sql import functions as F
 from fieldlens.llm.common import claim
 from fieldlens.llm.labels import remainder, sample
 
-#: Bounds of the labelled sample, as for quality.
+#: Bounds of the labelled sample: examples of a label, rows for calibration, bytes of either's texts.
 PER_CLASS = 1500
 CALIBRATION = 3000
 SAMPLE_BYTES = 12_000_000
-#: Terms of the index at most, the strongest first; examples of a block; neighbours that vote.
-TERMS = 4000
-BLOCK = 64
+#: Examples of a block; neighbours that vote; the share of examples from which a term's postings are kept as a full row.
+BLOCK = 128
 NEIGHBOURS = 15
+COMMON = 1 / 16
+#: Texts that are compared with the examples together.
+BATCH = 64
 #: Lengths of the word beginnings that count as terms beside whole words, so that inflected words meet.
 STEMS = (4, 5, 6)
-#: Documents of label 1 that a term needs.
-LEAST = 4
-#: How sure a term must be (twice the log-likelihood gain of splitting by it).
-SURE = 26.0
 #: Words whose terms a worker keeps.
 REMEMBERED = 60_000
+#: Word triples that two examples of a label share, of those of either, to count as one.
+COPIES = 0.8
 
 _EDGES = ".,;:!?\"'()[]{}<>|*&%$#@+=~^_-/\\`"
 
@@ -41,110 +41,125 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if word else ()
 
 
-def _gain(k: np.ndarray, n: int) -> np.ndarray:
-    """Binomial log-likelihood of k of n at its own rate."""
-    p = k / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where((k > 0) & (k < n), k * np.log(p) + (n - k) * np.log1p(-p), 0.0)
+class Words(dict):
+    """Term numbers of words, made on first use; forgotten when there are too many."""
 
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-def distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """rows without copies and most near copies: a text goes if either of two min-hashes of its word triples came before.
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = self.make(word)
+        return found
 
-    A text that was copied a hundred times would otherwise make all its words look like marks of its label.
-    """
-    kept, seen = [], set()
-    for text, label in rows:
-        words = text.lower().split()
-        triples = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
-        keys = {(salt, min(zlib.crc32(t, salt) for t in triples)) for salt in (1, 77)}
-        if not keys & seen:
-            kept.append((text, label))
-        seen |= keys
-    return kept
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct numbers of a text's terms, and how often each comes."""
+        return np.unique(np.array(list(chain.from_iterable(map(self.__getitem__, text.split()))), np.int64), return_counts=True)
 
 
-def text_terms(text: str) -> set[str]:
-    return {t for word in set(text.split()) for t in terms_of(word)}
+def _triples(text: str) -> np.ndarray:
+    words = text.lower().split()
+    return np.unique(np.array([zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))], np.uint32))
 
 
-def choose_terms(rows: list[tuple[str, int]]) -> list[str]:
-    """Terms that mark label 1: sure by likelihood ratio, and at least eight times as frequent there as under label 0.
+def distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """rows without copies and near copies of a label: candidates share a min-hash of their word triples, sets decide.
 
-    A first pass counts hashed terms, so that only those with enough documents of label 1 are held as text in a second.
+    A text that was copied a hundred times would otherwise fill the places of a hundred neighbours.
     """
-    n1 = sum(v for _, v in rows)
-    n0 = len(rows) - n1
-    if not n1 or not n0:
-        return []
-    hashed = np.zeros(1 << 22, np.int32)
-    for text, label in rows:
-        if label:
-            hashed[list({zlib.crc32(t.encode()) & (len(hashed) - 1) for t in text_terms(text)})] += 1
-    pos, neg = Counter(), Counter()
+    kept: list[tuple[str, int]] = []
+    seen: dict[tuple[int, int, int], list[np.ndarray]] = {}
     for text, label in rows:
-        (pos if label else neg).update(t for t in text_terms(text) if hashed[zlib.crc32(t.encode()) & (len(hashed) - 1)] >= LEAST)
-    names = [t for t, c in pos.items() if c >= LEAST]
-    if not names:
-        return []
-    k1, k0 = np.array([pos[t] for t in names], float), np.array([neg[t] for t in names], float)
-    sure = 2 * (_gain(k1, n1) + _gain(k0, n0) - (_gain((k1 + k0), n1 + n0)))
-    good = (sure >= SURE) & (k1 / n1 >= 8 * (k0 + 0.25) / n0)
-    order = sorted(np.flatnonzero(good), key=lambda i: (-sure[i], names[i]))
-    return [names[i] for i in order[:TERMS]]
+        mine = _triples(text)
+        keys = [(label, odd, int((mine * np.uint32(odd)).min())) for odd in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
+        others = {id(o): o for k in keys for o in seen.get(k, ())}
+        both = ((len(np.intersect1d(mine, o, assume_unique=True)), len(o)) for o in others.values())
+        if any(b >= COPIES * (len(mine) + n - b) for b, n in both):
+            continue
+        kept.append((text, label))
+        for k in keys:
+            seen.setdefault(k, []).append(mine)
+    return kept
 
 
 @dataclass
 class Index:
-    """Examples in blocks; for each term the largest weight it has in each block, and the postings of each block."""
+    """Examples in blocks, and for each term its postings: weights of the examples that hold it.
+
+    Postings of rare terms are lists. Those of common terms are rows over all examples, with the largest weight of each
+    block beside them: they are read for a block only where its bound can still change the nearest examples.
+    """
 
-    vocabulary: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    terms: list[str] = field(default_factory=list)
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each term: inverse document frequency and relevance
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # term x block
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)  # block: term: places, weights
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # a common term's row, -1 for rare ones
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # row x example, up to whole blocks
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # row x block
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each term's list
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.full(1, 0.5))  # calibrated score by vote
-    none: float = 0.0  # score of texts without terms
-
-    def counts(self, text: str | None, known: dict[str, tuple[int, ...]]) -> Counter:
-        found: Counter = Counter()
-        for word in (text or "").split():
-            ids = known.get(word)
-            if ids is None:
-                ids = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = ids
-            if ids:
-                found.update(ids)
-        return found
+    none: float = 0.5  # score of texts without a known term
+
+    def reader(self):
+        """A function from a text to its known terms and their weights, of length 1; words are remembered."""
+        vocabulary = {t: i for i, t in enumerate(self.terms)}
+        known = Words(lambda word: tuple(i for t in terms_of(word) if (i := vocabulary.get(t)) is not None))
+
+        def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+            ids, counts = known.counted(text or "")
+            weights = (1 + np.log(counts)) * self.weight[ids]
+            return ids, weights / max(np.sqrt((weights**2).sum()), 1e-12)
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), int)
-        weights = (1 + np.log([counts[i] for i in ids])) * self.idf[ids] if len(ids) else np.zeros(0)
-        return ids, weights / max(np.sqrt((weights**2).sum()), 1e-12)
+        return read
 
-    def nearest(self, counts: Counter, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine above 0, and their places; ties by place.
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """For each query the k examples of the largest cosine above 0, and their places; ties by place.
 
-        Blocks go by falling upper bound; the search ends when no block can change the k best, so it is exact.
+        Lists of rare terms are summed first. With them and the largest weights of its common terms each block has a
+        bound. A query's best bounded block comes first, then every block whose bound its k-th best does not exceed, so
+        the result is exact.
         """
-        ids, weights = self.vector(counts)
-        if not len(ids) or not self.block_max.size:
-            return []
-        bounds = weights @ self.block_max[ids]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            lists = self.postings[block]
-            for i, w in zip(ids.tolist(), weights):
-                if (held := lists.get(i)) is not None:
-                    sums[held[0]] += w * held[1]
-            best += [(float(sums[j]), int(block) * BLOCK + int(j)) for j in np.flatnonzero(sums > 0)]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        m, n, width = len(queries), len(self.labels), self.rows.shape[1]
+        if not n or not m:
+            return [[] for _ in queries]
+        of = np.repeat(np.arange(m), [len(i) for i, _ in queries])
+        ids, weights = (np.concatenate(x) for x in zip(*queries))
+        row = self.row[ids]
+        heavy = np.zeros((m, len(self.rows)))
+        heavy[of[row >= 0], row[row >= 0]] = weights[row >= 0]
+        rare = row < 0
+        lo = self.starts[ids[rare]]
+        count = self.starts[ids[rare] + 1] - lo
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        sums = np.bincount(np.repeat(of[rare] * width, count) + self.places[at], np.repeat(weights[rare], count) * self.weights[at], minlength=m * width).reshape(m, width)
+        bounds = sums.reshape(m, -1, BLOCK).max(2) + heavy @ self.block_max + 1e-9
+        seen = np.zeros(bounds.shape, bool)
+        best = np.zeros((m, k))  # the k best cosines so far, unordered
+
+        def look(block: int, who: np.ndarray) -> None:
+            part = slice(block * BLOCK, (block + 1) * BLOCK)
+            seen[who, block] = True
+            sums[who, part] += heavy[who] @ self.rows[:, part]
+            best[who] = np.partition(np.hstack([best[who], sums[who, part]]), -k, axis=1)[:, -k:]
+
+        first = bounds.argmax(1)
+        for block in np.unique(first):
+            look(int(block), np.flatnonzero(first == block))
+        for block in np.argsort(-bounds.sum(0), kind="stable"):
+            who = np.flatnonzero(~seen[:, block] & (bounds[:, block] >= best.min(1)))
+            if len(who):
+                look(int(block), who)
+        sums = np.round(np.where(np.repeat(seen, BLOCK, axis=1), sums, 0), 12)[:, :n]
+        out = []
+        for scores in sums:
+            some = np.flatnonzero(scores >= max(np.partition(scores, -k)[-k] if n > k else 0, 1e-12))
+            some = some[np.lexsort((some, -scores[some]))][:k]
+            out.append(list(zip(scores[some].tolist(), some.tolist())))
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The share of label 1 among the neighbours, each weighted by its nearness; far ones leave room for doubt."""
@@ -155,38 +170,58 @@ class Index:
         return float(np.interp(self.vote(near), *self.steps)) if near else self.none
 
 
+def term_weights(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Smoothed inverse document frequency times the square of the relevance frequency, for every term.
+
+    ones and zeros are the examples of either label that hold the term. The relevance frequency is log2(2 + r), r being
+    how many times as frequent the term is under label 1: it lifts telling terms and leaves none out.
+    """
+    idf = np.log((1 + n1 + n0) / (1 + ones + zeros)) + 1
+    r = ((ones + 0.5) / max(n1, 1)) / ((zeros + 0.5) / max(n0, 1))
+    return idf * np.log2(2 + r) ** 2
+
+
 def build(balanced: list[tuple[str, int]]) -> Index:
-    balanced = distinct(balanced)
-    names = choose_terms(balanced)
-    index = Index({t: i for i, t in enumerate(names)})
-    if not names:
-        return index
-    known: dict = {}
-    index.idf = np.ones(len(names))
-    sizes = Counter(i for text, _ in balanced for i in index.counts(text, known))
-    index.idf = np.array([np.log((1 + len(balanced)) / (1 + sizes[i])) + 1 for i in range(len(names))])
-    held = [(c, v) for (text, v) in balanced if (c := index.counts(text, known))]
-    index.labels = np.array([v for _, v in held], int)
-    blocks = -(-len(held) // BLOCK)
-    index.block_max = np.zeros((len(names), blocks))
-    for b in range(blocks):
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for j, (counts, _) in enumerate(held[b * BLOCK : (b + 1) * BLOCK]):
-            for i, w in zip(*(x.tolist() for x in index.vector(counts))):
-                lists.setdefault(i, []).append((j, w))
-        index.postings.append({i: (np.array([j for j, _ in l]), np.array([w for _, w in l])) for i, l in lists.items()})
-        for i, (_, w) in index.postings[-1].items():
-            index.block_max[i, b] = w.max()
+    """The index of all examples with a word, over all their terms."""
+    vocabulary: dict[str, int] = {}
+    words = Words(lambda word: tuple(vocabulary.setdefault(t, len(vocabulary)) for t in terms_of(word)))
+    held = [(*words.counted(text), v) for text, v in distinct(balanced)]
+    held = [x for x in held if len(x[0])]
+    if not held:
+        return Index()
+    labels = np.array([v for *_, v in held], int)
+    ids, counts = (np.concatenate(x) for x in list(zip(*held))[:2])
+    of = np.repeat(np.arange(len(held)), [len(x) for x, *_ in held])
+    total = np.bincount(ids, minlength=len(vocabulary))
+    ones = np.bincount(ids, labels[of], len(vocabulary))
+    index = Index(list(vocabulary), term_weights(ones, total - ones, int(labels.sum()), int((labels == 0).sum())))
+    weights = (1 + np.log(counts)) * index.weight[ids]
+    weights /= np.sqrt(np.bincount(of, weights**2))[of]
+
+    common = np.flatnonzero(total > max(8, COMMON * len(held)))
+    index.row = np.full(len(vocabulary), -1, np.int32)
+    index.row[common] = np.arange(len(common))
+    width = -(-len(held) // BLOCK) * BLOCK
+    rows = np.zeros((len(common), width))
+    often = index.row[ids] >= 0
+    rows[index.row[ids[often]], of[often]] = weights[often]
+    # examples that share their heaviest common term lie together, so that blocks differ and many can be skipped
+    order = np.argsort(rows[:, : len(held)].argmax(0), kind="stable") if len(common) else np.arange(len(held))
+    place = np.empty(len(held), int)
+    place[order] = np.arange(len(held))
+    index.labels, index.rows = labels[order], rows[:, np.append(order, np.arange(len(held), width))]
+    index.block_max = index.rows.reshape(len(common), -1, BLOCK).max(2)
+    by_term = np.lexsort((place[of[~often]], ids[~often]))
+    index.places, index.weights = place[of[~often]][by_term].astype(np.int16), weights[~often][by_term]
+    index.starts = np.append(0, np.cumsum(np.bincount(ids[~often], minlength=len(vocabulary))))
     return index
 
 
 def calibrate(index: Index, natural: list[tuple[str, int]]) -> None:
     """Scores that grow with the vote, by pooling adjacent violators on rows that the index doesn't hold."""
-    known: dict = {}
-    natural = distinct(natural)
-    seen = [(index.nearest(index.counts(text, known)), v) for text, v in natural]
-    empty = [v for near, v in seen if not near]
-    index.none = (sum(empty) + 0.05) / (len(empty) + 1)
+    natural, read = distinct(natural), index.reader()
+    index.none = (sum(v for _, v in natural) + 0.5) / (len(natural) + 1)
+    seen = [(near, natural[i + j][1]) for i in range(0, len(natural), BATCH) for j, near in enumerate(index.nearest([read(t) for t, _ in natural[i : i + BATCH]]))]
     pools: list[list[float]] = []  # vote sum, label sum, weight
     for vote, v in sorted((index.vote(near), v) for near, v in seen if near):
         pools.append([vote, float(v), 1.0])
@@ -195,10 +230,16 @@ def calibrate(index: Index, natural: list[tuple[str, int]]) -> None:
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
     # the ends stand for a vote of none and of all, each with one row's doubt
     votes = [0.0, *(p[0] / p[2] for p in pools), 1.0]
-    rates = [index.none, *((p[1] + 0.05) / (p[2] + 0.1) for p in pools), 1.0]
+    rates = [0.0, *((p[1] + 0.05) / (p[2] + 0.1) for p in pools), 1.0]
     index.steps = (np.array(votes), np.maximum.accumulate(np.array(rates)))
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield batch.slice(at, BATCH)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int = 2) -> Index:
     balanced, natural = sample(docs, labels, "toxic", divisor, held_out, PER_CLASS, CALIBRATION, SAMPLE_BYTES)
     index = build(balanced)
@@ -209,9 +250,9 @@ def fitted(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int =
 def score(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence (label and cosine of its nearest examples).
 
-    The score sees the text alone; labels of the held-out remainder are never read. Examples, terms and so the index are
-    bounded by this module's parameters, whatever the tables hold. Null and empty texts, and those without any of the
-    terms, have no neighbours: they get the share of label 1 among such labelled texts. An empty table gives an empty
+    The score sees the text alone; labels of the held-out remainder are never read. Examples and so the index are bounded
+    by this module's parameters, whatever the tables hold; the terms are all terms of the examples. Null and empty texts,
+    and those without any of the terms, have no neighbours: they get the share of label 1. An empty table gives an empty
     result; repeated rows are scored each; other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, divisor, held_out))
@@ -220,9 +261,10 @@ def score(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
-        index, known = shipped.value, {}
-        for batch in batches:
-            near = [index.nearest(index.counts(t.as_py(), known)) for t in batch.column(1)]
+        index = shipped.value
+        read = index.reader()
+        for batch in _small(batches):
+            near = index.nearest([read(t.as_py()) for t in batch.column(1)])
             evidence = [[{"label": int(index.labels[j]), "cosine": s} for s, j in n[:3]] for n in near]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.score(n) for n in near], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
@@ -236,10 +278,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
-        index, known = shipped.value, {}
-        for batch in batches:
+        index = shipped.value
+        read = index.reader()
+        for batch in _small(batches):
             at = batch.schema.get_field_index("text")
-            clean = [index.score(index.nearest(index.counts(t.as_py(), known))) < threshold for t in batch.column(at)]
+            clean = [index.score(near) < threshold for near in index.nearest([read(t.as_py()) for t in batch.column(at)])]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
