@@ -23,32 +23,54 @@ STEP = 16
 #: Rows that a task gathers before it merges equal ones.
 FLUSH = 400_000
 
+_LOW = np.uint64((1 << 20) - 1)
+# Two independent polynomial hashes: one modulo 2^64, one modulo each of two primes, against which texts that are built to
+# fool a power of two (such as Thue-Morse strings) have no effect.
 _BASE = 0xD6E8FEB86659FD93
 _BYTE = _mix(np.arange(256, dtype=np.uint64), 21)
-_LOW = np.uint64((1 << 20) - 1)
+_PRIMES = (2**31 - 1, 48271), (2**31 - 19, 69621)  # modulus, base
+_SMALL = [_mix(np.arange(256, dtype=np.uint64), 22 + i) % np.uint64(p) for i, (p, _) in enumerate(_PRIMES)]
+_REACH = SEGMENT + 2 * LENGTH + 1
 
 
 def _powers(base: int) -> np.ndarray:
-    out = np.full(SEGMENT + 2 * LENGTH + 1, base, np.uint64)
+    out = np.full(_REACH, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _powers_modulo(base: int, prime: int) -> np.ndarray:
+    """base ** i % prime for each i, by doubling what is known: every product fits 62 bits."""
+    out = np.ones(1, np.uint64)
+    while len(out) < _REACH:
+        out = np.append(out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime))
+    return out[:_REACH]
+
+
 _UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+_UP_SMALL = [_powers_modulo(b, p) for p, b in _PRIMES]
+_DOWN_SMALL = [_powers_modulo(pow(b, -1, p), p) for p, b in _PRIMES]
 
 
 class Ranks:
     """Names of a segment's substrings: equal strings of equal length have equal 64-bit names, wherever they stand."""
 
     def __init__(self, data: np.ndarray):
+        self.data, self.checks = data, None
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _UP[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * _DOWN[start], 5)
+        """Names by both hashes: unlike strings share one with a chance of 2^-62 or less."""
+        if self.checks is None:
+            self.checks = [np.append(np.uint64(0), np.cumsum(table[self.data] * up[: len(self.data)] % np.uint64(p))) for table, up, (p, _) in zip(_SMALL, _UP_SMALL, _PRIMES)]
+        named = _mix((self.sums[end] - self.sums[start]) * _DOWN[start], 5)
+        for i, (sums, down, (p, _)) in enumerate(zip(self.checks, _DOWN_SMALL, _PRIMES)):
+            named = _mix(named + (sums[end] - sums[start]) % np.uint64(p) * down[start] % np.uint64(p), 30 + i)
+        return named
 
     def halves(self) -> np.ndarray:
-        """The rank of the HALF bytes from every position."""
+        """The rank of the HALF bytes from every position, by the first hash alone: it only sorts, names decide."""
         return _mix((self.sums[HALF:] - self.sums[:-HALF]) * _DOWN[: len(self.sums) - HALF], 5)
 
 
@@ -253,11 +275,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whose rank is unique end there, equal stretches are repeats throughout, and only stretches that share a rank but
     differ go on: in pieces of STEP windows, then window by window with the pair of ranks at the window and HALF bytes
     further. Every round is one sort by Spark, of fewer rows than the last; text travels once.
-    Null text counts as empty: 0 bytes. Texts under LENGTH bytes lose nothing. A null doc_id is a document of its own.
-    Rows that share a doc_id are copies of one document. An empty table gives an empty result; other columns are ignored.
+    Null text counts as empty: 0 bytes. Texts under LENGTH bytes lose nothing. Rows are told apart by doc_id and text: a
+    null doc_id is a document like others, and rows equal in both are repeats of each other. An empty table gives an empty
+    result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    texts, every = _addressed(docs, scratch)
 
     def ranked(rows: DataFrame, name: str) -> DataFrame:
         return scratch.save(rows.repartition("g").sortWithinPartitions("g", "k").mapInArrow(_rerank, FOUND), name)
@@ -270,9 +293,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     second = ranked(with_places(held, first.where(F.col("kind") == OPEN)).mapInArrow(_closer(STEP), ROWS), "second")
     third = ranked(with_places(held, second.where(F.col("kind") == OPEN)).mapInArrow(_closer(1), ROWS), "third")
     repeated = first.unionByName(second).unionByName(third).where(F.col("kind") == REPEATED)
-    cut = scratch.save(with_places(held.distinct(), repeated).mapInArrow(_keep, KEPT), "cut")
-    every = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("_sha"))
-    return every.join(cut, "doc_id", "left").select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "_sha").alias("kept_sha256"),
+    cut = scratch.save(with_places(held.dropDuplicates(["doc_id"]), repeated).mapInArrow(_keep, KEPT), "cut")
+    scratch.keep("rows", "cut")
+    return every.join(cut.withColumnRenamed("doc_id", "_key"), "_key", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("kept_sha256", F.lower(F.hex("_sha"))).alias("kept_sha256"),
     )
+
+
+def _addressed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(texts, rows): texts by a 64-bit address in the place of doc_id, and a row for each document with its address.
+
+    The address hashes doc_id and text; a salt is sought with which no two unlike rows share one.
+    """
+    salt = 0
+    while True:
+        doc_id, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+        key = F.xxhash64(F.lit(salt), doc_id.isNull(), doc_id, text)
+        raw = F.encode(text, "UTF-8")
+        rows = docs.select(key.alias("_key"), doc_id.alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(raw, 256)).alias("_sha"))
+        rows = scratch.save(rows, "rows")
+        told = F.struct(F.coalesce("doc_id", F.lit(NO_ID)), F.col("doc_id").isNull(), "_sha")
+        if rows.groupBy("_key").agg(F.min(told).alias("a"), F.max(told).alias("b")).where("a <> b").isEmpty():
+            return docs.select(key.alias("doc_id"), raw.alias("text")), rows
+        salt += 1
