@@ -29,7 +29,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
 
 @dataclass
 class Model:
-    """What a score needs; base is the share of label 1, given to empty texts and where nothing could be learnt."""
+    """What a score needs; base is given to empty texts and where nothing could be learnt."""
 
     base: float
     good: bytes = b""
@@ -55,7 +55,8 @@ class Model:
 def _features(text: str, makers: list) -> np.ndarray:
     """1, the normalised difference of the sizes (bad less good), and the log share of the smaller one, plain and squared.
 
-    The share tells text that any dictionary packs well, such as one word repeated.
+    The share tells text that any dictionary packs well, such as one word repeated: of such text the difference is small
+    whatever its label.
     """
     data = text.encode()
     good = bad = 0
@@ -93,8 +94,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 def train(balanced: list[tuple[str, int]], natural: list[tuple[str, int]]) -> Model:
     """Dictionaries from the balanced sample, the score's calibration from the natural one.
 
-    Where the natural sample lacks a label, the balanced one calibrates; where that does, too, or a dictionary finds too
-    little text, every score is the share of label 1 (a half without any labels).
+    A score is the chance of label 1 where both labels are as frequent, so that a rare one is not overlooked. Where the
+    natural sample lacks a label, the balanced one calibrates; where that does, too, or a dictionary finds too little
+    text, every score is the share of label 1 (a half without any labels).
     """
     import zstandard
 
@@ -112,13 +114,16 @@ def train(balanced: list[tuple[str, int]], natural: list[tuple[str, int]]) -> Mo
         return Model(base)
     makers = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d)) for d in made]
     x = np.array([_features(t, makers) for t, _ in calibrating])
-    return Model(base, *made, tuple(fit_logistic(x, np.array([v for _, v in calibrating]))))
+    y = np.array([v for _, v in calibrating])
+    weights = fit_logistic(x, y)
+    weights[0] -= np.log(y.sum() / (len(y) - y.sum()))
+    return Model(0.5, *made, tuple(float(w) for w in weights))
 
 
 def score(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Labels of the held-out remainder are never read.
 
-    The score sees the text alone. Null and empty texts get the share of label 1. An empty table gives an empty result;
+    The score sees the text alone. Null and empty texts get a half, or the share of label 1 where nothing was learnt. An empty table gives an empty result;
     repeated rows are scored each; other columns are ignored.
     """
     model = train(*sample(docs, labels, "quality", divisor, held_out, PER_CLASS, CALIBRATION, SAMPLE_BYTES))
