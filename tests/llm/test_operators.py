@@ -1,16 +1,20 @@
 """Each operator against a brute-force version on small documents with every odd case."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fieldlens.llm import block_naming, compression, fingerprints, mixing, ngram_join, packing, repeats, reply_trees, sharding, toxicity
 from fieldlens.llm.common import Scratch
+from fieldlens.llm.labels import sample
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, name string, size long, key string, `_bucket` int, `_id` long, a string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,7 +62,7 @@ def got(df, *keys):
 def test_fingerprints(docs, none, rows):
     assert fingerprints.fingerprint(none).count() == 0
     out = fingerprints.fingerprint(docs, rows_per_bucket=1).collect()
-    order = sorted(((d if d is not None else -(2**63), t or "") for d, t, *_ in rows), key=lambda x: (-x[0], x[1]))
+    order = sorted(((d if d is not None else -(2**63), t or "") for d, t, *_ in rows), key=lambda x: (-x[0], -xx(x[1].encode()), x[1]))
     want = Counter()
     for i, (d, t) in enumerate(order):
         nxt, half = order[(i + 1) % len(order)][1], len(t) // 2
@@ -70,14 +74,64 @@ def test_fingerprints(docs, none, rows):
         prints.setdefault(r.doc_id, r)
     assert prints[0].fingerprint == prints[1].fingerprint == prints[4].fingerprint  # words count, not white space
     assert prints[16].near_edited > 0.3 and prints[16].near_next < 0.1
+    for d, t, *_ in rows:
+        if d not in (0, 20):
+            assert (prints[d].fingerprint, prints[d].places) == by_hand(t or "")
+
+
+def xx(data: bytes, seed: int = 42) -> int:
+    """Spark's xxhash64 of one value; a long is its 8 bytes, a further value takes the hash as its seed."""
+    h = xxhash.xxh64(data, seed % 2**64).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def by_hand(text: str) -> tuple[str, str]:
+    """Fingerprint and places of closed syncmers: of four units those whose middle pair is not the least of their three."""
+    units = []
+    for word in WORD.findall(text):
+        units += [word] if len(word) <= 16 else list(word)
+
+    def both(a: int, b: int) -> int:
+        return xx(struct.pack("<q", b), xx(struct.pack("<q", a)))
+
+    hashes = [xx(u.encode()) for u in units]
+    pairs = [both(a, b) for a, b in zip(hashes, hashes[1:])]
+    found = [(both(pairs[i], pairs[i + 2]) % 2**32, i) for i in range(len(units) - 3) if min(pairs[i], pairs[i + 2]) <= pairs[i + 1]]
+    if len(units) < 16:
+        found += [(h % 2**32, i) for i, h in enumerate(hashes)] or [(0, 0)]
+    chosen = sorted(found)[:64]
+    chosen.sort(key=lambda x: (x[1], x[0]))
+    return "".join(f"{h:08x}" for h, _ in chosen), " ".join(str(i) for _, i in chosen)
 
 
 def test_syncmers_are_context_free(spark):
     r = random.Random(1)
-    words = [str(r.random()) for _ in range(200)]
-    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50:150])), (3, "a b")], "i int, t string")
-    a, b, c = [x.h for x in fingerprints.with_anchors(rows, "t", "h").orderBy("i").collect()]
-    assert set(b) <= set(a) and len(b) > 20 and len(c) == 1
+    words = [str(r.random())[:12] for _ in range(80)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[30:70])), (3, "a b")], "i int, t string")
+    a, b, c = [{x >> 31 for x in x.h} for x in fingerprints.with_anchors(rows, "t", "h").orderBy("i").collect()]
+    assert b <= a and len(b) > 20 and len(c) == 2
+
+
+def test_fingerprints_of_unspaced_and_very_long_texts(spark):
+    r = random.Random(2)
+    plain = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(4000))
+    long = " ".join(str(r.random()) for _ in range(30_000))
+    rows = [(4, plain), (3, plain[:2000] + "x" + plain[2000:]), (2, long), (1, "y" * 50_000)]
+    out = {x.doc_id: x for x in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[4].near_next > 0.9 and out[4].near_edited > 0.3 and out[2].near_edited > 0.3 > out[2].near_next
+    for d, t in rows:
+        assert (out[d].fingerprint, out[d].places) == by_hand(t) and len(out[d].fingerprint) <= 8 * 64
+
+
+def test_buckets_of_any_ids(spark):
+    """One id on a third of all rows, ids in far runs, the least and the largest: no bucket holds many rows, order stays."""
+    r = random.Random(3)
+    ids = [7] * 1000 + [(p << 33) + i for p in range(4) for i in range(500)] + [-(2**63) + 1, 2**63 - 1]
+    rows = [(i, str(r.random())) for i in ids]
+    out = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_bucket=50).where("not ghost").collect()
+    assert max(Counter(x.bucket for x in out).values()) < 200
+    ordered = sorted(out, key=lambda x: (x.bucket, x.doc_id, x.turned))
+    assert [(x.doc_id, x.turned) for x in ordered] == sorted((x.doc_id, x.turned) for x in out)
 
 
 @pytest.mark.parametrize("block", [4096, 7])
@@ -362,20 +416,40 @@ def test_scores(labelled, score, label, divisor, left):
 
 
 def test_nearest_is_exact(labelled):
+    """Cosines computed afresh from the examples' texts, all terms of both labels."""
     docs, labels = labelled
+    balanced, natural = sample(docs, labels, "toxic", 4, 2, toxicity.PER_CLASS, toxicity.CALIBRATION, toxicity.SAMPLE_BYTES)
     index = toxicity.fitted(docs, labels)
-    known, blocks = {}, index.postings
-    for r in docs.where("text is not null").limit(200).collect():
-        counts = index.counts(r.text, known)
-        ids, weights = index.vector(counts)
-        every = Counter()
-        for b, lists in enumerate(blocks):
-            for i, w in zip(ids.tolist(), weights):
-                for j, v in zip(*lists.get(i, ((), ()))):
-                    every[b * toxicity.BLOCK + int(j)] += w * v
-        best = sorted(((s, j) for j, s in every.items()), key=lambda x: (-round(x[0], 9), x[1]))[: toxicity.NEIGHBOURS]
-        found = index.nearest(counts)
-        assert [round(s, 6) for s, _ in found] == [round(s, 6) for s, _ in best]
+    bags = [(Counter(t for w in text.split() for t in toxicity.terms_of(w)), v) for text, v in toxicity.distinct(balanced)]
+    n = Counter(v for _, v in bags)
+    held = {v: Counter(t for bag, u in bags if u == v for t in bag) for v in (0, 1)}
+
+    def vector(bag: Counter) -> dict:
+        out = {}
+        for t, c in bag.items():
+            k = [held[0][t], held[1][t]]
+            if sum(k):
+                idf = math.log((1 + sum(n.values())) / (1 + sum(k))) + 1
+                out[t] = (1 + math.log(c)) * idf * math.log2(2 + ((k[1] + 0.5) / n[1]) / ((k[0] + 0.5) / n[0])) ** 2
+        size = math.sqrt(sum(x * x for x in out.values()))
+        return {t: x / size for t, x in out.items()}
+
+    examples, read = [(vector(bag), v) for bag, v in bags], index.reader()
+    texts = [r.text for r in docs.where("text is not null").limit(150).collect()]
+    for text, found in zip(texts, index.nearest([read(t) for t in texts])):
+        mine = vector(Counter(t for w in text.split() for t in toxicity.terms_of(w)))
+        every = sorted(((sum(x * e.get(t, 0) for t, x in mine.items()), v) for e, v in examples), reverse=True)
+        best = [(s, v) for s, v in every if s > 1e-12][: toxicity.NEIGHBOURS]
+        assert [s for s, _ in found] == pytest.approx([s for s, _ in best], abs=1e-9)
+        assert sum(index.labels[j] for s, j in found if s > best[-1][0] + 1e-9) == sum(v for s, v in best if s > best[-1][0] + 1e-9)
+        assert found or not text.strip()
+
+
+def test_examples_that_only_share_a_passage_stay():
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.random()}" for _ in range(40)) for _ in range(40)]
+    rows = [(t + " one passage that many of them share", i % 2) for i, t in enumerate(texts)]
+    assert toxicity.distinct(rows + [(rows[0][0] + " more", 0), (rows[1][0], 1), (rows[1][0], 0)]) == rows + [(rows[1][0], 0)]
 
 
 def test_without_toxic(labelled):
