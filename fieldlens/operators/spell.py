@@ -7,9 +7,13 @@ broadcast; the dictionary's size is checked where it is collected.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +23,8 @@ from fieldlens.functions.text import dictionary_word
 
 #: Words that a broadcast dictionary may have.
 WORDS_LIMIT = 2_000_000
+#: Letters beyond the longest dictionary word from which a string is not a word.
+TOO_LONG = 3
 _FOLD = str.maketrans({**fold_table(), "\t": " ", "\n": " ", "\r": " "})
 
 
@@ -39,16 +45,32 @@ def new_words(texts: DataFrame, known: DataFrame, column: str = "text") -> DataF
     return words.join(known.select("word").distinct(), "word", "left_anti").orderBy(F.length("word"), "word")
 
 
+def shortened(word: Column, letters: int = 2) -> Column:
+    """The distinct strings left of a word when up to so many of its letters are taken out."""
+    every = level = F.array(word)
+
+    def without_one(w: Column) -> Column:
+        places = F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+
+    for _ in range(letters):
+        level = F.array_distinct(F.flatten(F.transform(level, without_one)))
+        every = F.array_distinct(F.concat(every, level))
+    return every
+
+
 def candidate_words(words: DataFrame, known: DataFrame, distance: int = 2) -> DataFrame:
-    """(word, candidate, edits, count) of dictionary words within an edit distance, joined by length.
+    """(word, candidate, edits, count) of dictionary words within an edit distance.
 
-    Known words have themselves only. Lengths within the distance are the join key, so no pair of other lengths is made.
+    Known words have themselves only. Words within k edits have a string in common once up to k letters are taken out of
+    either; that string is the join key, so hardly a pair is made that is not near.
     """
     asked = words.select("word").where("word is not null").distinct()
     same = asked.join(known, "word").select("word", F.col("word").alias("candidate"), F.lit(0).alias("edits"), "count")
-    rest = asked.join(known, "word", "left_anti").withColumn("n", F.explode(F.sequence(F.length("word") - distance, F.length("word") + distance)))
-    listed = known.select(F.col("word").alias("candidate"), "count", F.length("word").alias("n"))
-    pairs = rest.join(listed, "n").withColumn("edits", F.levenshtein("word", "candidate", distance)).where("edits >= 0")
+    rest = asked.join(known, "word", "left_anti").select("word", F.explode(shortened(F.col("word"), distance)).alias("left"))
+    listed = known.select(F.col("word").alias("candidate"), "count", F.explode(shortened(F.col("word"), distance)).alias("left"))
+    pairs = rest.join(listed, "left").select("word", "candidate", "count").distinct()
+    pairs = pairs.withColumn("edits", F.levenshtein("word", "candidate", distance)).where("edits >= 0")
     return same.unionByName(pairs.select("word", "candidate", "edits", "count"))
 
 
@@ -68,19 +90,38 @@ class Speller:
 
     counts: dict[str, int]
     distance: int = 2
-    by_length: dict[int, list[str]] = field(default_factory=dict)
+    by_length: dict[int, tuple[list[str], np.ndarray]] = field(default_factory=dict)
+    longest: int = -1
+
+    def checks(self, word: str) -> bool:
+        """Whether a word can be wrong: numbers, lone punctuation marks and what is far too long for a word cannot."""
+        if self.longest < 0:
+            self.longest = max(map(len, self.counts), default=0)
+        return not (is_number(word) or len(word) == 1 and word in string.punctuation or len(word) > self.longest + TOO_LONG)
 
     def knows(self, word: str) -> bool:
-        return word == "" or word.lower() in self.counts
+        return word == "" or word.lower() in self.counts or not self.checks(word)
 
     def candidates(self, word: str) -> list[str]:
-        """Dictionary words within the distance, the best first."""
+        """The dictionary's nearest words within the distance, the most frequent first; a word that is known has itself.
+
+        Words differ in two letters at most for each edit; those that differ in more are passed over by their letters alone.
+        """
         low = word.lower()
+        if self.knows(word):
+            return [low]
         if not self.by_length:
             for w in self.counts:
                 self.by_length.setdefault(len(w), []).append(w)
-        near = ((edits(low, w, self.distance), w) for n in range(len(low) - self.distance, len(low) + self.distance + 1) for w in self.by_length.get(n, ()))
-        return [w for _, _, w in sorted((d, -self.counts[w], w) for d, w in near if d <= self.distance)]
+            self.by_length = {n: (ws, np.array([letter_mask(w) for w in ws], np.uint64)) for n, ws in self.by_length.items()}
+        mine, near = np.uint64(letter_mask(low)), []
+        for n in range(len(low) - self.distance, len(low) + self.distance + 1):
+            ws, masks = self.by_length.get(n, ((), None))
+            if len(ws):
+                likely = np.flatnonzero(np.bitwise_count(masks ^ mine) <= 2 * self.distance)
+                near += [(edits(low, ws[i], self.distance), ws[i]) for i in likely.tolist()]
+        least = min((d for d, _ in near), default=self.distance + 1)
+        return sorted((w for d, w in near if d == least <= self.distance), key=lambda w: (-self.counts[w], w))
 
     def joined(self, words: list[str]) -> tuple[set[str], list[str]]:
         """(unknown words, all words), upper-cased, after unknown ones are glued to a neighbour where that is a word.
@@ -109,6 +150,20 @@ class Speller:
         return {w for w in out if not self.knows(w)}, out
 
 
+def is_number(word: str) -> bool:
+    """Whether a word reads as a number: digits with a sign, a point or an exponent."""
+    try:
+        float(word)
+    except ValueError:
+        return False
+    return True
+
+
+def letter_mask(word: str) -> int:
+    """A bit for each letter that is in the word; letters share 64 bits."""
+    return reduce(or_, (1 << (ord(c) & 63) for c in word), 0)
+
+
 def edits(a: str, b: str, limit: int) -> int:
     """Levenshtein distance, limit + 1 if it is beyond the limit."""
     row = list(range(len(b) + 1))
@@ -184,12 +239,17 @@ def lattice(s: str, speller: Speller) -> list[list[str]]:
     return out
 
 
+def listed(rows: DataFrame) -> list:
+    """The rows of a list that workers hold whole; an error above WORDS_LIMIT of them."""
+    found = rows.limit(WORDS_LIMIT + 1).collect()
+    if len(found) > WORDS_LIMIT:
+        raise ValueError(f"a list of more than {WORDS_LIMIT} rows: join with corrections() instead")
+    return found
+
+
 def speller_of(words: DataFrame) -> Speller:
     """A worker's dictionary from (word, count) rows; refused above WORDS_LIMIT words."""
-    rows = words.groupBy("word").agg(F.max("count").alias("count")).limit(WORDS_LIMIT + 1).collect()
-    if len(rows) > WORDS_LIMIT:
-        raise ValueError(f"a dictionary of more than {WORDS_LIMIT} words: join with corrections() instead")
-    return Speller({r["word"]: r["count"] for r in rows})
+    return Speller({r["word"]: r["count"] for r in listed(words.groupBy("word").agg(F.max("count").alias("count")))})
 
 
 def spell_adjust(df: DataFrame, column: Column, words: DataFrame, out: str = "adjusted", **how) -> DataFrame:
@@ -290,9 +350,9 @@ def identity(s: str, issuers: dict[str, int], states: set[str]) -> str:
 
 
 def identity_repair(df: DataFrame, column: Column, issuers: DataFrame, states: DataFrame, out: str = "identity") -> DataFrame:
-    """df with identity() of a column. Issuers (pos, code) and states (uf) are lists of offices: small, shipped whole."""
-    codes = {r["code"]: r["pos"] for r in issuers.select("code", "pos").limit(WORDS_LIMIT).collect()}
-    ufs = {r["uf"] for r in states.select("uf").distinct().limit(WORDS_LIMIT).collect()}
+    """df with identity() of a column. Issuers (pos, code) and states (uf) are shipped whole: lists above WORDS_LIMIT are refused."""
+    codes = {r["code"]: r["pos"] for r in listed(issuers.select("code", "pos"))}
+    ufs = {r["uf"] for r in listed(states.select("uf").distinct())}
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
