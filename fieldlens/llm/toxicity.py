@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,41 +22,46 @@ SAMPLE_BYTES = 12_000_000
 #: Examples of a block; neighbours that vote; the share of examples from which a term's postings are kept as a full row.
 BLOCK = 128
 NEIGHBOURS = 15
-COMMON = 1 / 16
+COMMON = 1 / 12
 #: Texts that are compared with the examples together.
 BATCH = 64
-#: Lengths of the word beginnings that count as terms beside whole words, so that inflected words meet.
+#: Bytes of the word beginnings that count as terms beside whole words, so that inflected words meet.
 STEMS = (4, 5, 6)
 #: Words whose terms a worker keeps.
-REMEMBERED = 60_000
+REMEMBERED = 100_000
 #: Word triples that two examples of a label share, of those of either, to count as one.
 COPIES = 0.8
 
-_EDGES = ".,;:!?\"'()[]{}<>|*&%$#@+=~^_-/\\`"
+#: Bytes that words are cut at: white space and marks.
+_CUT = bytes(32 if chr(b) in ".,;:!?\"()[]{}<>|*&%$#@+=~^_/\\`" else b for b in range(256))
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """The terms of a word: itself without marks at its edges, lower-cased, and its beginnings (with a star)."""
-    word = word.lower().strip(_EDGES)
-    return (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if word else ()
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words without marks, in UTF-8."""
+    return text.lower().encode().translate(_CUT).split()
+
+
+def terms_of(word: bytes) -> tuple[bytes, ...]:
+    """The terms of a word: itself and its beginnings (with a star)."""
+    return (word, *(word[:k] + b"*" for k in STEMS if len(word) > k))
 
 
 class Words(dict):
-    """Term numbers of words, made on first use; forgotten when there are too many."""
+    """Term numbers of words, packed, made on first use; forgotten when there are too many."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = self.make(word)
+        self[word] = found = array("i", self.make(word)).tobytes()
         return found
 
     def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The distinct numbers of a text's terms, and how often each comes."""
-        return np.unique(np.array(list(chain.from_iterable(map(self.__getitem__, text.split()))), np.int64), return_counts=True)
+        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, words_of(text))), np.int32), return_counts=True)
 
 
 def _triples(text: str) -> np.ndarray:
@@ -92,22 +97,38 @@ class Index:
     block beside them: they are read for a block only where its bound can still change the nearest examples.
     """
 
-    terms: list[str] = field(default_factory=list)
+    terms: list[bytes] = field(default_factory=list)
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of each term: inverse document frequency and relevance
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
-    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # a common term's row, -1 for rare ones
-    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # row x example, up to whole blocks
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # row x block
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each term's list
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.full(1, 0.5))  # calibrated score by vote
     none: float = 0.5  # score of texts without a known term
 
+    def __post_init__(self):
+        """The rows of common terms (row: its number or -1; rows: row x example, up to whole blocks; block_max)."""
+        sizes, width = np.diff(self.starts), -(-len(self.labels) // BLOCK) * BLOCK
+        common = np.flatnonzero(sizes > max(8, COMMON * len(self.labels)))
+        self.row = np.full(len(sizes), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), width))
+        term = np.repeat(self.row, sizes)
+        self.rows[term[term >= 0], self.places[term >= 0]] = self.weights[term >= 0]
+        self.block_max = self.rows.reshape(len(common), -1, BLOCK).max(2) if width else np.zeros((len(common), 0))
+
+    def __getstate__(self):
+        """Rows stay behind: they are made again from the lists."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "rows", "block_max")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def reader(self):
         """A function from a text to its known terms and their weights, of length 1; words are remembered."""
-        vocabulary = {t: i for i, t in enumerate(self.terms)}
-        known = Words(lambda word: tuple(i for t in terms_of(word) if (i := vocabulary.get(t)) is not None))
+        numbers = {t: i for i, t in enumerate(self.terms)}.get
+        known = Words(lambda word: [i for t in terms_of(word) if (i := numbers(t)) is not None])
 
         def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             ids, counts = known.counted(text or "")
@@ -183,8 +204,8 @@ def term_weights(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.nd
 
 def build(balanced: list[tuple[str, int]]) -> Index:
     """The index of all examples with a word, over all their terms."""
-    vocabulary: dict[str, int] = {}
-    words = Words(lambda word: tuple(vocabulary.setdefault(t, len(vocabulary)) for t in terms_of(word)))
+    vocabulary: dict[bytes, int] = {}
+    words = Words(lambda word: [vocabulary.setdefault(t, len(vocabulary)) for t in terms_of(word)])
     held = [(*words.counted(text), v) for text, v in distinct(balanced)]
     held = [x for x in held if len(x[0])]
     if not held:
@@ -194,27 +215,18 @@ def build(balanced: list[tuple[str, int]]) -> Index:
     of = np.repeat(np.arange(len(held)), [len(x) for x, *_ in held])
     total = np.bincount(ids, minlength=len(vocabulary))
     ones = np.bincount(ids, labels[of], len(vocabulary))
-    index = Index(list(vocabulary), term_weights(ones, total - ones, int(labels.sum()), int((labels == 0).sum())))
-    weights = (1 + np.log(counts)) * index.weight[ids]
+    weight = term_weights(ones, total - ones, int(labels.sum()), int((labels == 0).sum()))
+    weights = (1 + np.log(counts)) * weight[ids]
     weights /= np.sqrt(np.bincount(of, weights**2))[of]
-
-    common = np.flatnonzero(total > max(8, COMMON * len(held)))
-    index.row = np.full(len(vocabulary), -1, np.int32)
-    index.row[common] = np.arange(len(common))
-    width = -(-len(held) // BLOCK) * BLOCK
-    rows = np.zeros((len(common), width))
-    often = index.row[ids] >= 0
-    rows[index.row[ids[often]], of[often]] = weights[often]
     # examples that share their heaviest common term lie together, so that blocks differ and many can be skipped
-    order = np.argsort(rows[:, : len(held)].argmax(0), kind="stable") if len(common) else np.arange(len(held))
+    common = total[ids] > COMMON * len(held)
+    heaviest = np.lexsort((np.where(common, weights, 0), of))[np.cumsum(np.bincount(of)) - 1]
+    order = np.argsort(ids[heaviest], kind="stable")
     place = np.empty(len(held), int)
     place[order] = np.arange(len(held))
-    index.labels, index.rows = labels[order], rows[:, np.append(order, np.arange(len(held), width))]
-    index.block_max = index.rows.reshape(len(common), -1, BLOCK).max(2)
-    by_term = np.lexsort((place[of[~often]], ids[~often]))
-    index.places, index.weights = place[of[~often]][by_term].astype(np.int16), weights[~often][by_term]
-    index.starts = np.append(0, np.cumsum(np.bincount(ids[~often], minlength=len(vocabulary))))
-    return index
+    by_term = np.lexsort((place[of], ids))
+    starts = np.append(0, np.cumsum(total))
+    return Index(list(vocabulary), weight, labels[order], starts, place[of][by_term].astype(np.int16), weights[by_term])
 
 
 def calibrate(index: Index, natural: list[tuple[str, int]]) -> None:
