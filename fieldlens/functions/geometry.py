@@ -167,6 +167,64 @@ def hidden_part(field: Column, b: Column) -> Column:
     return F.when(~field.startswith("foto_") & ~field.isin("cnh", "cnh_frente", "rg_frente", "rg_verso", "rg2_frente", "rg2_verso"), covered)
 
 
+#: Of eight lines in a photo-like place name's block, those that are covered beside the field itself.
+_EXTRA_LINES = (0, 1, 2, 6, 7)
+
+
+def hidden_photo(b: Column) -> Column:
+    """What to cover of a photo: (rectangle corners, circle) of shoulders and head."""
+    def tenth(n: int) -> Column:
+        return F.floor(b["width"] / n)
+
+    x, y, w, h = b["x_min"], b["y_min"], b["width"], b["height"]
+    low = F.struct(whole(x + tenth(10)).alias("x1"), whole(y + F.floor(h / 2)).alias("y1"), whole(x + w - tenth(10)).alias("x2"), whole(y + h - tenth(10)).alias("y2"))
+    head = F.struct(whole(x + tenth(2)).alias("x"), whole(y + F.floor(h / 3)).alias("y"), F.least(F.floor(h / 4), tenth(3)).cast("int").alias("radius"))
+    return F.struct(low.alias("body"), head.alias("head"))
+
+
+def hidden_lines(field: Column, b: Column) -> Column:
+    """Boxes to cover beside a place of issue: of eight lines from four above it on, all but the middle three; else none."""
+    covered = hidden_part(field, b)
+    first, step = covered["y_min"] - 4 * (covered["height"] + 3), covered["height"] + 2
+    lines = F.array(*[box(covered["x_min"], first + i * step, covered["width"], covered["height"]) for i in _EXTRA_LINES])
+    return F.when(field == "local_emissao_cnh", lines).otherwise(F.slice(lines, 1, 0))
+
+
+def long_side_angle(corners: Column) -> Column:
+    """(width, height, angle) of a rectangle's four corners in order: its longer and shorter side and the slope of the longer.
+
+    The angle lies within 135 degrees either way of level; a rectangle whose sides differ by less than a third has none.
+    """
+    def side(i: int) -> Column:
+        a, c = F.get(corners, i), F.get(corners, (i + 1) % 4)
+        rise, run = (a["y"] - c["y"]).cast("double"), (a["x"] - c["x"]).cast("double")
+        return F.struct(F.hypot(run, rise).alias("length"), F.lit(-i).alias("order"), rise.alias("rise"), run.alias("run"))
+
+    sides = F.array(*[side(i) for i in range(4)])
+    longest, shortest = F.array_max(sides), F.array_min(F.transform(sides, lambda s: s["length"]))
+    slope = -F.degrees(F.atan2(longest["rise"], longest["run"]))
+    slope = F.when(180 - F.abs(slope) <= 45, slope + F.when(slope < 0, 180.0).otherwise(-180.0)).otherwise(slope)
+    angle = F.when(shortest / longest["length"] <= 0.67, slope)
+    return F.struct(F.bround(longest["length"]).cast("int").alias("width"), F.bround(shortest).cast("int").alias("height"), angle.alias("angle"))
+
+
+def colours(bits: int = 8) -> Column:
+    """All (r, g, b) with so many bits a channel, in the order of an image that holds each once.
+
+    A number's bits go in turn to red, green and blue, lowest first; each channel is stretched to eight bits.
+    """
+    n = min(8, max(1, bits))
+
+    def channel(number: Column, which: int) -> Column:
+        out = F.lit(0)
+        for i in range(n):
+            bit = F.shiftright(number, 3 * i + which).bitwiseAND(1)
+            out = out + F.shiftleft(bit, i + max(0, 7 * (i + 1) // n - i))
+        return out.cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(2 ** (3 * n) - 1)), lambda k: F.struct(*[channel(k, i).alias(c) for i, c in enumerate("rgb")]))
+
+
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.hypot((bx - ax).cast("double"), (by - ay).cast("double"))
 

@@ -122,9 +122,3 @@ def block_rate(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def match_label(rate: Column) -> Column:
     """How a rate is called: equal, full, high, half, low, none."""
     return F.when(rate == 1, "equal").when(rate >= 0.9995, "full").when(rate >= 0.75, "high").when(rate >= 0.5, "half").when(rate >= 0.125, "low").otherwise("none")
-
-
-def entropy(counts: Column) -> Column:
-    """Bits per value of an array of counts."""
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c)
-    return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - F.when(c > 0, c / total * F.log2(c / total)).otherwise(0.0))

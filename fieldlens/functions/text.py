@@ -239,6 +239,11 @@ def date_parts(year: Column, month: Column, day: Column | None, as_of_year: Colu
     return F.struct(int_or(year, as_of_year).alias("year"), int_or(month, 0).alias("month"), (F.lit(0) if day is None else int_or(day, 0)).alias("day"))
 
 
+def now_text(ts: Column | None = None, pattern: str | None = None) -> Column:
+    """A time as text, to the second or by a pattern; without a time, that of the query."""
+    return F.date_format(F.current_timestamp() if ts is None else ts, pattern or "yyyy-MM-dd HH:mm:ss")
+
+
 def stamp(ts: Column) -> Column:
     """Date and time as they stand in file names: yyyyMMdd and HHmmss_micros."""
     return F.concat_ws("/", F.date_format(ts, "yyyyMMdd"), F.date_format(ts, "HHmmss_SSSSSS"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.functions.geometry import box
+
 
 def _overlap(a: Column, b: Column) -> Column:
     """Intersection over union of two boxes."""
@@ -108,6 +110,18 @@ def side_spans(detections: DataFrame, front: list[str], back: list[str], key: st
     return detections.groupBy(key).agg(*aggs)
 
 
+def filtered_result(results: DataFrame, names: list[str], width: Column | int, height: Column | int) -> DataFrame:
+    """Detections (…, obj_name, box) of the wanted names, lower-cased, with their boxes cut to the frame: one pass.
+
+    No names keep all. A box's far corner is cut, too, so a box outside the frame gets no or a negative size, as asked.
+    """
+    b, (w, h) = F.col("box"), [x if isinstance(x, Column) else F.lit(x) for x in (width, height)]
+    x, y = F.greatest(b["x_min"], F.lit(0)), F.greatest(b["y_min"], F.lit(0))
+    cut = box(x.cast("int"), y.cast("int"), (F.least(b["x_min"] + b["width"], w) - x).cast("int"), (F.least(b["y_min"] + b["height"], h) - y).cast("int"))
+    kept = results.where(F.lower("obj_name").isin(*names)) if names else results
+    return kept.withColumn("box", cut)
+
+
 def decode_images(images: DataFrame, detect, schema: str) -> DataFrame:
     """Rows that a given callable finds in binary images (path, content): the place for a detector or a recogniser."""
 

@@ -24,8 +24,8 @@ ROUTES = [
 
 
 def named(detections: DataFrame, classes: DataFrame) -> DataFrame:
-    """Detections with obj_name by class_index. Classes are a list of a detector's outputs: small, so broadcast."""
-    return detections.join(F.broadcast(classes.select("class_index", "obj_name")), "class_index")
+    """Detections with obj_name by class_index. Spark broadcasts the classes where their size allows."""
+    return detections.join(classes.select("class_index", "obj_name"), "class_index")
 
 
 def detected(scores: Column, threshold: float = 0.9) -> Column:
@@ -137,7 +137,7 @@ def pair_angles(detections: DataFrame, pairs: DataFrame, key: str = "file") -> D
 
     a = detections.select(key, "family", F.col("obj_name").alias("field_a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
     b = detections.select(F.col(key).alias("_key"), F.col("obj_name").alias("field_b"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    joined = a.join(F.broadcast(pairs), ["family", "field_a"]).join(b, (F.col(key) == F.col("_key")) & (pairs["field_b"] == b["field_b"]))
+    joined = a.join(pairs, ["family", "field_a"]).join(b, (F.col(key) == F.col("_key")) & (pairs["field_b"] == b["field_b"]))
     angle = point_angle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return joined.groupBy(key).agg(F.min_by(angle, F.struct("pair_order", "ax", "ay", "bx", "by")).alias("angle"))
 
@@ -147,6 +147,15 @@ def preproc_bits(mask: Column) -> Column:
     return F.filter(F.array(F.lit(1), F.lit(2)), lambda b: mask.bitwiseAND(b) != 0)
 
 
+def preproc_kinds(kinds: Column, is_list: bool = False) -> Column:
+    """The preprocessing kinds asked for: a list as it is, else a number's bits; anything else is an error where it runs."""
+    if is_list:
+        return kinds.cast("array<int>")
+    mask = kinds.try_cast("int")
+    checked = F.when(kinds.isNotNull() & mask.isNull(), F.raise_error("preprocessing kinds must be a number or a list").cast("int")).otherwise(mask)
+    return preproc_bits(checked)
+
+
 def width_param(header: Column, default: int = 800) -> Column:
     """A requested width if it is a number over 450 and at most 1800, else the default."""
     w = header.try_cast("int")

@@ -88,6 +88,27 @@ def confusion(kinds: DataFrame) -> DataFrame:
     return kinds.groupBy("expected", "detected").agg(F.count("*").alias("files")).withColumn("ok", F.when(F.col("expected") == F.col("detected"), "OK").otherwise(""))
 
 
+def confusion_rows(files: DataFrame, as_of: Column) -> DataFrame:
+    """A row for each file (file, found_rg, found_cnh): expected and detected kind, whether they agree, and what tells them.
+
+    A kind is told by the only one of two signs; none or both make it another. found_* say what was detected in the file,
+    its path says what it should be.
+    """
+    def flag(c: Column) -> Column:
+        return F.when(c, "S").otherwise("N")
+
+    def kind(rg: Column, cnh: Column) -> Column:
+        return F.when(rg == cnh, "Outros").when(rg, "RG").otherwise("CNH")
+
+    low = F.lower("file")
+    in_rg, in_cnh = low.contains("/rg"), low.contains("/cnh")
+    expected, detected = kind(in_rg, in_cnh), kind(F.col("found_rg"), F.col("found_cnh"))
+    return files.select(
+        as_of.alias("ts"), expected.alias("expected"), detected.alias("detected"), F.when(expected == detected, "OK").otherwise("").alias("ok"),
+        flag(F.col("found_rg")).alias("detected_rg"), flag(in_rg).alias("dir_rg"), flag(F.col("found_cnh")).alias("detected_cnh"), flag(in_cnh).alias("dir_cnh"), "file",
+    )
+
+
 def client_report(rows: DataFrame) -> DataFrame:
     """(file, match): the mean rate in percent over the fields compared."""
     return rows.where(F.col("text").isNotNull()).groupBy("file").agg((F.avg("rate") * 100).alias("match"))

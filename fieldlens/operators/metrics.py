@@ -69,6 +69,24 @@ def text_entropy(texts: DataFrame, key: str, text: str) -> DataFrame:
     return chars.withColumn("total", F.sum("n").over(Window.partitionBy(key))).groupBy(key).agg((-F.sum(p * F.log2(p))).alias("entropy"))
 
 
+def window_entropy(pixels: DataFrame, key: str, reach: int = 5) -> DataFrame:
+    """(key, row, col, entropy, level) of (key, row, col, value): bits per pixel of the window around each, and its level.
+
+    A window goes from `reach` before to `reach` less one after, in rows and columns, as far as the image does. Levels lie
+    between the image's least entropy, 0, and its largest, 255 (all 0 where they are equal). Each pixel is sent to the
+    windows that hold it, at most (2 * reach)**2, and counted there; no window is collected.
+    """
+    near = F.sequence(F.lit(1 - reach), F.lit(reach))
+    sent = pixels.select(key, "row", "col", "value", F.explode(near).alias("_r")).select(key, (F.col("row") + F.col("_r")).alias("row"), "col", "value", F.explode(near).alias("_c"))
+    sent = sent.select(key, "row", (F.col("col") + F.col("_c")).alias("col"), "value")
+    held = sent.join(pixels.select(key, "row", "col"), [key, "row", "col"], "left_semi").groupBy(key, "row", "col", "value").agg(F.count("*").alias("n"))
+    # -sum(p log p) by the counts alone: log N - sum(n log n) / N
+    bits = held.groupBy(key, "row", "col").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
+    span = bits.groupBy(key).agg(F.min("entropy").alias("_lo"), F.max("entropy").alias("_hi"))
+    level = F.when(F.col("_hi") > F.col("_lo"), F.bround(255.0 * (F.col("entropy") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).otherwise(0.0)
+    return bits.join(span, key).select(key, "row", "col", "entropy", level.cast("int").alias("level"))
+
+
 def exposition(values: DataFrame) -> DataFrame:
     """Text lines of (name, help, count, sum) summaries, as scrapers read them."""
     lines = F.concat_ws(

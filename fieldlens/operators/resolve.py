@@ -28,8 +28,14 @@ def squeezed(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, " +", " "))
 
 
-def _small(names: DataFrame) -> DataFrame:
-    return F.broadcast(names) if names.count() <= NAMES_BROADCAST else names
+def _small(names: DataFrame, bounded: bool = False) -> DataFrame:
+    """A list that every text is compared with, broadcast. Longer lists than NAMES_BROADCAST are joined by length where an
+    error is bounded, and refused where none is: each text with each name would grow with the square of the data."""
+    if names.count() <= NAMES_BROADCAST:
+        return F.broadcast(names)
+    if bounded:
+        return names
+    raise ValueError(f"a list of more than {NAMES_BROADCAST} names needs a largest error")
 
 
 def nearest(inputs: DataFrame, names: DataFrame, text: str = "text", name: str = "name", max_error: int | None = None) -> DataFrame:
@@ -44,7 +50,13 @@ def nearest(inputs: DataFrame, names: DataFrame, text: str = "text", name: str =
     same = texts.join(exact, "text").select("text", F.col("text").alias("best"), F.lit(100.0).alias("score"), F.lit(0).alias("error"))
     others = texts.join(exact, "text", "left_anti")
     gap = F.abs(F.length("text") - F.length("name"))
-    compared = others.join(_small(listed), gap <= max_error if max_error is not None else F.lit(True))
+    within = gap <= max_error if max_error is not None else F.lit(True)
+    names_held = _small(listed, max_error is not None)
+    if max_error is not None and names_held is listed:  # too long a list to ship: names meet texts by their length
+        lengths = F.sequence(F.length("text") - max_error, F.length("text") + max_error)
+        within = F.length("name") == F.col("_length")
+        others = others.withColumn("_length", F.explode(lengths))
+    compared = others.join(names_held, within).drop("_length")
     compared = compared.withColumn("error", indel_error(F.col("text"), F.col("name"))).withColumn("score", indel_ratio(F.col("text"), F.col("name")))
     good = F.col("score") >= 0.25 if max_error is None else F.col("error") <= max_error
     best = F.min_by(F.struct("name", "score", "error"), F.struct("error", -F.col("score"), "pos"))
@@ -61,7 +73,7 @@ def issuers(inputs: DataFrame, codes: DataFrame, text: str = "text") -> DataFram
 
 def issuer_codes(codes: DataFrame, states: DataFrame) -> DataFrame:
     """codes (pos, code) and, after them, each with each state: state ex only with codes that end in ex, the rest with the others."""
-    pairs = codes.join(F.broadcast(states.select("uf", F.col("pos").alias("uf_pos"))), F.col("code").endswith("ex") == (F.col("uf") == "ex"))
+    pairs = codes.join(_small(states.select("uf", F.col("pos").alias("uf_pos"))), F.col("code").endswith("ex") == (F.col("uf") == "ex"))
     first = codes.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))
     numbered = pairs.crossJoin(F.broadcast(first)).select(
         (F.col("last") + F.row_number().over(Window.orderBy("pos", "uf_pos"))).cast("int").alias("pos"), F.concat("code", "uf").alias("code")
@@ -91,13 +103,13 @@ def cities(inputs: DataFrame, towns: DataFrame, states: DataFrame, text: str = "
     texts = inputs.select(F.col(text).alias("text")).where("text is not null").distinct()
     texts = texts.withColumn("plain", squeezed(fold_strict(F.col("text"))))
     plain = texts.select("plain").distinct()
-    named = towns.join(F.broadcast(states.select("uf", F.col("name").alias("state"))), F.right("city_uf", F.lit(2)) == F.col("uf"), "left")
+    named = towns.join(_small(states.select("uf", F.col("name").alias("state")), True), F.right("city_uf", F.lit(2)) == F.col("uf"), "left")
     town = F.substring("city_uf", F.lit(1), F.greatest(F.length("city_uf") - 3, F.lit(0)))
     forms = named.select("pos", "city_uf", F.posexplode(F.array("city_uf", town, F.concat_ws(" ", town, F.coalesce("state", F.lit(""))))).alias("form", "name"))
     exact = forms.join(plain, forms["name"] == plain["plain"]).where("plain <> ''").groupBy("plain").agg(F.min_by("city_uf", "pos").alias("best"))
     exact = exact.withColumn("score", F.lit(100.0)).withColumn("error", F.lit(0))
     others = plain.join(exact, "plain", "left_anti")
-    compared = others.join(_small(forms)).withColumn("score", indel_ratio(F.col("plain"), F.col("name"))).withColumn("error", indel_error(F.col("plain"), F.col("name")))
+    compared = others.crossJoin(_small(forms)).withColumn("score", indel_ratio(F.col("plain"), F.col("name"))).withColumn("error", indel_error(F.col("plain"), F.col("name")))
     per_town = compared.groupBy("plain", "pos", "city_uf").agg(F.max_by(F.struct("score", "error"), F.struct("score", -F.col("form"))).alias("f"))
     best = F.min_by(F.struct(F.col("city_uf").alias("best"), "f.score", "f.error"), F.struct("f.error", -F.col("f.score"), "pos")).alias("b")
     found = per_town.where(F.col("f.score") >= 0.25).groupBy("plain").agg(best).select("plain", "b.*")
@@ -133,11 +145,11 @@ def headers(inputs: DataFrame, known: DataFrame, text: str = "text") -> DataFram
 
 
 def only_row(rows: DataFrame, condition: Column) -> DataFrame:
-    """The one row that meets a condition; several stop the query with an error where it runs, none gives none."""
-    found = rows.where(condition)
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    checked = found.limit(2).withColumn("_n", n)  # two rows are enough to tell
-    return checked.where(F.assert_true(F.col("_n") == 1, "more than one row meets the condition").isNull()).drop("_n")
+    """The one row that meets a condition; none or several stop the query with an error where it runs."""
+    found = rows.where(condition).limit(2)  # two rows are enough to tell
+    held = found.agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    checked = held.where(F.assert_true(F.size("_rows") == 1, "not exactly one row meets the condition").isNull())
+    return checked.select(F.explode("_rows").alias("_row")).select("_row.*")
 
 
 def one_random(rows: DataFrame, seed: int = 0) -> DataFrame:

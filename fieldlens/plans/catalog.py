@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlens.plans import document_queries, registry, report_queries, text_queries  # noqa: F401
+from fieldlens.plans import document_queries, file_queries, registry, report_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

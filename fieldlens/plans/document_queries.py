@@ -170,30 +170,25 @@ _SNAP = "CASE WHEN abs(a) < 2 THEN 0 WHEN abs(a - 90) < 2 THEN 90 WHEN abs(a + 9
 @query(f"""
 WITH a AS (SELECT l_orderkey, l_linenumber, {_ANGLE} AS raw FROM lineitem), m AS (SELECT *, CASE WHEN -raw <= -180 THEN -raw + 360 ELSE -raw END AS a FROM a), s AS (SELECT *, {_SNAP} AS s FROM m)
 SELECT l_orderkey, l_linenumber, round(raw, 6) AS angle, round(CASE WHEN abs(s) < 2 THEN 0 ELSE s END, 6) AS turn,
-  trunc(480 * abs(sin(radians(raw))) + 640 * abs(cos(radians(raw))) + 1e-9)::INT AS canvas_w FROM s""")
+  trunc(480 * abs(sin(radians(round(raw, 3)))) + 640 * abs(cos(radians(round(raw, 3)))))::INT AS canvas_w FROM s""")
 def angles(spark, d):
     a = geometry.point_angle(F.lit(0), F.lit(0), F.col("l_suppkey") % 40 - 20, F.col("l_partkey") % 50 - 25)
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", a.alias("a"))
-    width = (480 * F.abs(F.sin(F.radians("a"))) + 640 * F.abs(F.cos(F.radians("a"))) + 1e-9).cast("int")  # canvas(), with room for rounding between engines
+    width = geometry.canvas(F.lit(640), F.lit(480), F.round("a", 3))["width"]
     return rows.select("l_orderkey", "l_linenumber", F.round("a", 6).alias("angle"), F.round(geometry.turn(F.col("a")), 6).alias("turn"), width.alias("canvas_w"))
 
 
 @query(f"""
-SELECT file, pos, trunc(w * least(200.0 / w, 100.0 / h) + 1e-9)::INT AS fit_w, trunc(h * greatest(200.0 / w, 100.0 / h) + 1e-9)::INT AS cover_h, (x + floor(w / 2.0))::INT AS centre,
+SELECT file, pos, (x + floor(w / 2.0))::INT AS centre,
   round(x - w * 0.4, 6) AS face_x, round(h + h * 0.55, 6) AS face_h, round(sqrt((x * x + y * y)::DOUBLE), 6) AS dist, (class_index * 70000) & 255 AS red,
-  least(greatest(x + 30, 35), 60) AS clamped, CASE WHEN w * h <= 0 THEN '00' WHEN w * h >= 500 THEN '99' ELSE right('0' || (100 * w * h // 500)::VARCHAR, 2) END AS band,
-  CASE WHEN NOT starts_with(obj_name, 'foto_') AND obj_name NOT IN ('cnh', 'cnh_frente', 'rg_frente', 'rg_verso', 'rg2_frente', 'rg2_verso')
-    THEN trunc(x + h * CASE WHEN starts_with(obj_name, 'filiacao_') THEN (1 - 0.7) / 2 ELSE (1 - 0.4) / 2 END + 1e-9)::INT END AS hidden_x FROM {_DET}""")
+  least(greatest(x + 30, 35), 60) AS clamped, CASE WHEN w * h <= 0 THEN '00' WHEN w * h >= 500 THEN '99' ELSE right('0' || (100 * w * h // 500)::VARCHAR, 2) END AS band FROM {_DET}""")
 def box_arithmetic(spark, d):
     w, h, x, y = (F.col(c) for c in "whxy")
-    eps = F.lit(1e-9)  # room for rounding between engines
     face = geometry.padded_face(_box())
-    inset = h * F.when(F.col("obj_name").startswith("filiacao_"), (1 - 0.7) / 2).otherwise((1 - 0.4) / 2)
-    hidden = F.when(geometry.hidden_part(F.col("obj_name"), _box()).isNotNull(), (x + inset + eps).cast("int"))
     return _detections(spark, d).select(
-        "file", "pos", (w * F.least(200.0 / w, 100.0 / h) + eps).cast("int").alias("fit_w"), (h * F.greatest(200.0 / w, 100.0 / h) + eps).cast("int").alias("cover_h"), geometry.centre(x, w).alias("centre"),
+        "file", "pos", geometry.centre(x, w).alias("centre"),
         F.round(face["x_min"], 6).alias("face_x"), F.round(face["height"], 6).alias("face_h"), F.round(geometry.distance(F.lit(0), F.lit(0), x, y), 6).alias("dist"), geometry.rgb(F.col("class_index") * 70000)["r"].alias("red"),
-        geometry.clamped_sum(x, F.lit(30), F.lit(35), F.lit(60)).alias("clamped"), geometry.percent_band(w * h, F.lit(500)).alias("band"), hidden.alias("hidden_x"),
+        geometry.clamped_sum(x, F.lit(30), F.lit(35), F.lit(60)).alias("clamped"), geometry.percent_band(w * h, F.lit(500)).alias("band"),
     )
 
 

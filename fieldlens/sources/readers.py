@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldlens.functions.geometry import parsed_label
 
@@ -26,6 +25,18 @@ def decoded_body(body: Column) -> Column:
     return F.struct(payload.alias("payload"), F.when(payload.isNull(), 404).alias("error"))
 
 
+def request_body(content_type: Column, body: Column) -> Column:
+    """(payload, error) of a request's binary body: the first file part of a multipart form, or the bytes themselves of an
+    octet stream; error 400 for other types and forms without a file."""
+    text = F.decode(body, "ISO-8859-1")  # a character for each byte
+    kind = F.lower(F.split(F.coalesce(content_type, F.lit("")), ";")[0])
+    mark = F.concat(F.lit("--"), F.regexp_replace(F.regexp_extract(content_type, r"boundary=([^;]+)", 1), '"', ""))
+    part = F.element_at(F.filter(F.split(text, F.concat(F.lit(r"\Q"), mark, F.lit(r"\E"))), lambda p: p.rlike(r'(?is)^\r\n.*?filename=.*?\r\n\r\n')), 1)
+    content = F.regexp_extract(part, r"(?s)^.*?\r\n\r\n(.*?)(?:\r\n)?$", 1)
+    payload = F.when(kind == "application/octet-stream", body).when((kind == "multipart/form-data") & part.isNotNull(), F.encode(content, "ISO-8859-1"))
+    return F.struct(payload.alias("payload"), F.when(payload.isNull(), 400).alias("error"))
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """(file, field, expected, doc_type) from flat JSON files: keys lower-cased, files that don't parse give nothing."""
     texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", "map<string,string>").alias("m"))
@@ -100,8 +111,10 @@ def object_files(spark: SparkSession, bucket: str, pattern: str = "") -> DataFra
     root = bucket.rstrip("/")
     if pattern.endswith("*") or not pattern:
         reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        found = reader.load(root)
-        return found.where(F.col("path").contains(root.split("://")[-1].rstrip("/") + "/" + pattern.rstrip("*")))
+        folder, _, start = pattern.rstrip("*").rpartition("/")  # only this folder is listed
+        inside = f"{root}/{folder}".rstrip("/")
+        found = reader.load(inside)
+        return found.where(F.col("path").contains(inside.split("://")[-1] + "/" + start))
     return spark.read.format("binaryFile").load(f"{root}/{pattern}")
 
 
@@ -129,5 +142,3 @@ def image_stats(files: DataFrame, sizes: DataFrame) -> DataFrame:
     """(path, height, width, bytes) of files whose sizes (path, height, width) could be read; others are left out."""
     return files.select("path", F.col("length").alias("bytes")).join(sizes, "path").select("path", "height", "width", "bytes")
 
-
-EMPTY = T.StructType([])

@@ -203,3 +203,72 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.event_type, r.n, r.total) for r in spark.table("lat").collect()} == {("a", 2, 3.0), ("b", 1, 3.0)}
+
+
+def test_folding_by_independent_vectors(spark):
+    """Characters by their numbers, with what they must fold to; some stay."""
+    want = {490: "q", 493: "q", 696: "y", 1236: "e", 1237: "e", 8340: "d", 124: "l", 176: "º", 163: "e", 216: "0", 223: "b", 305: "i", 399: "d", 461: "a", 570: "a", 572: "e", 913: "a", 919: "h", 951: "n", 962: "c",
+            1041: "b", 1061: "x", 1094: "4", 1276: "x", 7869: "e", 8058: "p", 8088: "h", 8096: "w", 8308: "4", 8341: "h", 8722: "-", 203: "e", 241: "n", 336: "o", 376: "y"}
+    want |= {c: chr(c) for c in (982, 1008, 1009, 1012, 383, 452, 497, 912, 937, 65, 170, 186)}
+    assert values(spark, text.fold, [chr(c) for c in want]) == list(want.values())
+
+
+def test_numbers_are_known_words():
+    speller = spell.Speller({"de": 5, "abc": 1, "da": 3})
+    assert spell.adjusted("12 abc 12345", speller) == "12 ABC 12345"
+    # a title goes if the word is it and known, or if it is among an unknown word's candidates
+    assert spell.adjusted("doc 123 dx", speller, correct=False, titles=("DOC",)) == "DOC 123 DX"
+    assert spell.adjusted("d 123 abc", speller, correct=False, titles=("ABC", "DE")) == "123"
+    assert speller.knows("1e5") and speller.knows("-") and speller.knows("x" * 10) and not speller.knows("abd")
+    assert speller.candidates("db") == ["de", "da"] and speller.candidates("abcde") == ["abc"] and speller.candidates("zzzz") == []
+
+
+def test_candidates_by_shortened_words(spark):
+    import random
+
+    r = random.Random(1)
+    known = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 7))) for _ in range(150)})
+    asked = sorted({"".join(r.choice("abc") for _ in range(r.randint(0, 8))) for _ in range(60)})
+    out = spell.candidate_words(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame([(w, 1) for w in known], "word string, count long")).collect()
+    want = {(a, k, spell.edits(a, k, 2)) for a in asked for k in known if spell.edits(a, k, 2) <= 2 and a not in known} | {(a, a, 0) for a in asked if a in known}
+    assert {(x.word, x.candidate, x.edits) for x in out} == want and len(out) == len(want)
+
+
+def test_whole_correction(spark):
+    from fieldlens.operators.adjust import adjust
+
+    def rows(schema, *values_):
+        return spark.createDataFrame(list(values_), schema)
+
+    fields = rows(
+        "id int, family string, obj_name string, ocr_text string",
+        (0, "cnh", "nome_cnh", "NOME x maria da silvb 12"), (1, "cnh", "filiacao_cnh", "maria\nsilva\nrest"), (2, "cnh", "identidade_cnh", "DOC 12345 ssp/sp"), (3, "cnh", "local_emissao_cnh", "LOCAL campinaz sp"),
+        (4, "cnh", "observacao_cnh", "OBSERVACOES maria"), (5, "rg", "cabecalho_rg", "republica de nadia"), (6, "cnh", "registro_cnh", "1 2x3"), (7, "cnh", "cnh", "what"), (8, "cnh", "nome_cnh", None),
+    )
+    words = rows("word string, count long", ("maria", 5), ("silva", 4), ("da", 9), ("nome", 1))
+    out = adjust(
+        fields, words, rows("pos int, city_uf string", (0, "campinas sp"), (1, "santos sp")), rows("uf string, name string", ("sp", "sao paulo")), rows("pos int, code string", (0, "ssp"), (1, "detran")),
+        rows("pos int, header string, detail1 string, detail2 string", (0, "republica de nada", "nada", "")),
+    )
+    got = {r.id: r.adjusted for r in out.collect()}
+    assert got == {0: "MARIA DA SILVA", 1: "MARIA\nSILVA", 2: "12345 SSP/SP", 3: "CAMPINAS, SP", 4: "MARIA", 5: "REPUBLICA DE NADA", 6: "123", 7: "", 8: ""}
+
+
+def test_only_row_needs_one(spark):
+    rows = spark.range(5)
+    assert resolve.only_row(rows, F.col("id") == 3).collect()[0].id == 3
+    for condition in (F.col("id") > 2, F.col("id") > 9):
+        with pytest.raises(Exception, match="exactly one"):
+            resolve.only_row(rows, condition).collect()
+
+
+def test_preprocessing_kinds(spark):
+    row = spark.createDataFrame([("3", [1, 4], "x")], "a string, b array<int>, c string")
+    assert row.select(classify.preproc_kinds(F.col("a")).alias("a"), classify.preproc_kinds(F.col("b"), True).alias("b")).first() == ([1, 2], [1, 4])
+    with pytest.raises(Exception, match="number or a list"):
+        row.select(classify.preproc_kinds(F.col("c"))).collect()
+
+
+def test_colours_hold_each_once(spark):
+    found = spark.range(1).select(F.explode(geometry.colours(2)).alias("c")).select("c.*").collect()
+    assert len(set(found)) == len(found) == 64 and {r.r for r in found} == {0, 8, 128, 136}
