@@ -51,36 +51,46 @@ def paths(nodes: DataFrame, scratch: Scratch, branches: int = 1) -> DataFrame:
     for i, reach in enumerate(reaches):
         above = reach.select("tree", "node", "up")
         found = found.unionByName(found.join(above, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + 2**i).alias("back")))
-        if i % 3 == 2:
-            found = scratch.save(found, f"paths{i}")
+        found = scratch.save(found, f"paths{i}")  # written each round, as its plan would double
+        scratch.drop(f"paths{i - 1}")
     found = scratch.save(found, "paths")
+    scratch.drop(*[n for n in scratch.names if n.startswith("links") or n.startswith("paths") and n != "paths"])
     return found.withColumn("depth", F.max("back").over(Window.partitionBy("tree", "leaf")) - F.col("back")).drop("back")
 
 
-def formatted(messages: DataFrame, scratch: Scratch, branches: int = 1) -> DataFrame:
-    """(tree, leaf, text, loss) of each chosen path: messages are (tree, node, parent, score, role, text).
+def rendered(paths: DataFrame) -> DataFrame:
+    """paths, whose `turns` are (role, text) in order, with the conversation's `text` and its `loss` in their place.
 
     text holds START, the role, a line end, the text and STOP for each turn, control strings escaped; loss lists
     (start, length), in code points from 1, of the assistant's texts in it. Null roles and texts count as empty.
     """
-    chosen = paths(messages.select("tree", "node", "parent", "score"), scratch, branches)
-    turns = chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
-    role = F.url_encode(F.coalesce("role", F.lit("")))  # no mark and no line end in a role, and back by url_decode
-    head = F.concat(F.lit(START), role, F.lit("\n"))
-    body = escaped(F.coalesce("text", F.lit("")))
-    turn = F.struct("depth", F.concat(head, body, F.lit(STOP)).alias("part"), F.length(head).alias("head"), F.length(body).alias("body"), (F.coalesce("role", F.lit("")) == "assistant").alias("learn"))
-    rows = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     stop = len(STOP)
+
+    def part(turn: Column) -> Column:
+        role = F.url_encode(F.coalesce(turn["role"], F.lit("")))  # no mark and no line end in a role, and back by url_decode
+        return F.struct(F.concat(F.lit(START), role, F.lit("\n")).alias("head"), escaped(F.coalesce(turn["text"], F.lit(""))).alias("body"), (F.coalesce(turn["role"], F.lit("")) == "assistant").alias("learn"))
+
     begun = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def step(state: Column, turn: Column) -> Column:
-        span = F.array(F.struct((state["at"] + turn["head"]).alias("start"), turn["body"].alias("length")))
-        return F.struct(
-            (state["at"] + turn["head"] + turn["body"] + stop).alias("at"),
-            F.when(turn["learn"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-        )
+        start = state["at"] + F.length(turn["head"])
+        span = F.array(F.struct(start.alias("start"), F.length(turn["body"]).alias("length")))
+        return F.struct((start + F.length(turn["body"]) + stop).alias("at"), F.when(turn["learn"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return rows.select("tree", "leaf", F.array_join(F.transform("turns", lambda t: t["part"]), "").alias("text"), F.aggregate("turns", begun, step)["spans"].alias("loss"))
+    parts = paths.withColumn("turns", F.transform("turns", part))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(STOP))), "")
+    return parts.withColumn("text", text).withColumn("loss", F.aggregate("turns", begun, step)["spans"]).drop("turns")
+
+
+def formatted(messages: DataFrame, scratch: Scratch, branches: int = 1) -> DataFrame:
+    """(tree, leaf, text, loss) of each chosen path, as rendered(): messages are (tree, node, parent, score, role, text).
+
+    Only messages on a chosen path are gathered, each path in its own row.
+    """
+    chosen = paths(messages.select("tree", "node", "parent", "score"), scratch, branches)
+    turns = chosen.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    rows = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+    return rendered(rows)
 
 
 def parsed(text: Column) -> Column:
@@ -107,13 +117,16 @@ def digests(conversations: DataFrame) -> DataFrame:
     of its own. An empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(conversations.sparkSession, "chat")
-    order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     named = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), "turn", "role", "text")
-    messages = named.withColumn("node", F.row_number().over(order).cast("long")).select(
-        "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text"
-    )
-    messages = scratch.save(messages, "messages")
-    out = formatted(messages, scratch)
+    counts = named.groupBy("tree").agg(F.count("*").alias("n"))
+    nodes = counts.select("tree", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("node"))
+    links = scratch.save(nodes.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score")), "nodes")
+    chosen = paths(links, scratch).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("path"))
+    # a conversation's only path has all its rows, so its texts are gathered at once: they are shuffled a single time
+    ordered = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text")
+    rows = named.groupBy("tree").agg(F.array_sort(F.collect_list(ordered)).alias("rows"))
+    out = rows.join(chosen, "tree").select("tree", "leaf", F.transform("path", lambda p: F.get("rows", (p["node"] - 1).cast("int"))).alias("turns"))
+    out = rendered(out)
     turns = parsed(F.col("text"))
     lines = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform("loss", lambda s: unescaped(F.substring("text", s["start"], s["length"]))), "")
