@@ -127,7 +127,8 @@ def group_slots(keys: DataFrame, rows: DataFrame, group: list[str], order: list[
     """rows with a gapless number from 0 within each group, in no task more than about per_bucket rows of it.
 
     Rows of a group are dealt into hash buckets of their order columns; bucket counts (from keys, which has group and
-    order columns of the same rows but may be a narrower plan) give each bucket its first number.
+    order columns of the same rows but may be a narrower plan) give each bucket its first number. Rows equal in all order
+    columns have one bucket: the order columns should tell most rows apart.
     """
     n = buckets(total, per_bucket)
     at = hash_bucket(F.struct(*order), n)

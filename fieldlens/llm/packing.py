@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -47,13 +48,21 @@ class _Whole(Exception):
     """The text must go to the tokenizer whole."""
 
 
+def cuts_at_spaces(definition: dict) -> bool:
+    """Whether a tokenizer is plain byte-level BPE, whose pattern cuts texts as WordEncoder does."""
+    cut, model = definition.get("pre_tokenizer") or {}, definition.get("model") or {}
+    byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    return byte_level and definition.get("normalizer") is None and model.get("type") == "BPE" and not any(model.get(k) for k in odd)
+
+
 class WordEncoder:
     """A tokenizer's ids as little-endian unsigned 32-bit bytes, remembered by word.
 
     The byte-level pattern always starts a new piece at a space that follows a non-space, so a text's ids are those of
     its space-led words, in a row; within a word it also starts one between a letter and a full stop or comma, and
     between these or a line end and a letter. Texts in which a space follows white space, or with the special token's
-    string, go to the tokenizer whole.
+    string, go to the tokenizer whole, as does every text where the tokenizer is of another kind.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -63,17 +72,18 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare = _Remembered(self._encode, remembered // 4)
         self.led = _Remembered(self._led, remembered)
         self.merge = self.tokenizer.model.tokenize
-        self.bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.bytes = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 in order
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: 256 + i for i, b in enumerate(others)}
         self.space = chr(self.alphabet[32])
-        self.marks = {m: self._encode(m) for m in ".,"}
+        self.marks = {m: self._encode(m) for m in ".,"} if self.by_word else {}
 
     def _letters(self, word: str, lead: str) -> bytes:
         """Letters alone are one piece: no splitting is needed before the merges."""
@@ -97,6 +107,8 @@ class WordEncoder:
         return (self.led[head] if tail else self._encode(" " + word)) + b"".join(map(self.bare.__getitem__, tail))
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_word:
+            return b"".join([self.bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         first, *words = text.split(" ")
         if not words or first[-1:].isspace() or any(s in first or s in words[-1] for s in self.special):
             return self._encode(text)

@@ -187,6 +187,25 @@ def test_word_encoder_is_the_tokenizer():
         assert encode(s) == b"".join(i.to_bytes(4, "little") for i in t.encode(s, add_special_tokens=False).ids), s
 
 
+def test_encoder_of_another_kind_of_tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    t, encode = Tokenizer.from_file(path), packing.WordEncoder(path)
+    assert not encode.by_word
+    for s in ["a  b", "Ärger, 12.5\n x", *[x for x in texts() if x][:20]]:
+        assert encode(s) == b"".join(i.to_bytes(4, "little") for i in t.encode(s, add_special_tokens=False).ids)
+
+
+def test_packs_have_little_padding():
+    r = random.Random(8)
+    histogram = Counter(min(1023, int(r.lognormvariate(5, 1)) + 1) for _ in range(5000))
+    tokens = sum(length * n for length, n in histogram.items())
+    packs = sum(n for n, _ in packing.shortest_pack_first(histogram, 1024))
+    assert tokens <= packs * 1024 < 1.03 * tokens
+
+
 def test_shortest_pack_first():
     r = random.Random(3)
     for _ in range(20):
@@ -237,6 +256,20 @@ def test_sharding(docs, none, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_winners(spark):
+    """The lowest -ln(u) / weight wins, u being 13 hex digits of an MD5."""
+    weights = [1.0, 2.5, 0.5, 1.0]
+
+    def winner(key: str, n: int) -> int:
+        return min(range(n), key=lambda i: (-math.log((int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13) / weights[i], i))
+
+    rows = [(i, "x") for i in range(-50, 400)] + [(None, "y")]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), weights[:3], weights).collect()
+    for r in out:
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (winner(key, 3), winner(key, 4))
+
+
 def test_sharding_follows_weights(spark):
     ids = spark.range(4000).withColumnRenamed("id", "doc_id")
     n = Counter(r.s for r in ids.select(sharding.rendezvous(F.col("doc_id"), [1.0, 3.0]).alias("s")).collect())
@@ -415,6 +448,30 @@ def test_scores(labelled, score, label, divisor, left):
     assert same == {(r.doc_id, r.score) for r in out}  # held-out labels teach nothing
 
 
+def test_quality_is_the_calibrated_size_difference(labelled):
+    """Scores worked out from the two dictionaries, piece by piece."""
+    import zstandard
+
+    docs, labels = labelled
+    model = compression.train(*sample(docs, labels, "quality", 5, 0, compression.PER_CLASS, compression.CALIBRATION, compression.SAMPLE_BYTES))
+
+    def size(text: str, dictionary: bytes) -> int:
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        data = text.encode()
+        return sum(len(packer.compress(data[i : i + 1024])) for i in range(0, len(data), 1024))
+
+    for r in docs.join(compression.score(docs, labels).select("doc_id", F.col("score").alias("got")), "doc_id").limit(60).collect():
+        if not r.text:
+            assert r.got == 0.5
+            continue
+        good, bad = size(r.text, model.good), size(r.text, model.bad)
+        share = math.log(min(good, bad) / len(r.text.encode()))
+        x = sum(w * f for w, f in zip(model.weights, (1, 10 * (bad - good) / (bad + good), share, share**2)))
+        assert r.got == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-9)
+    lone = [x for x in (compression._features("word " * 400, [zstandard.ZstdCompressor(level=3)] * 2),)]
+    assert lone[0][1] == 0  # equal dictionaries make no difference
+
+
 def test_nearest_is_exact(labelled):
     """Cosines computed afresh from the examples' texts, all terms of both labels."""
     docs, labels = labelled
@@ -460,6 +517,7 @@ def test_without_toxic(labelled):
 
 
 def test_plain_columns_only_on_native_paths(docs, spark):
-    native = [fingerprints.fingerprint(docs), block_naming.dedup(docs), mixing.mix(docs, [1.0])]
+    chats = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    native = [fingerprints.fingerprint(docs), block_naming.dedup(docs), mixing.mix(docs, [1.0]), reply_trees.digests(chats)]
     for df in native:
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
