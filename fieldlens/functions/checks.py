@@ -62,14 +62,15 @@ def find_cpfs(s: Column) -> Column:
         good = F.filter(starts, lambda i: F.substring(s, i + 1, F.lit(11)).rlike("^[0-9]{11}$") & _sums(d, i, 11, 11))
         return F.array_distinct(F.transform(good, lambda i: F.substring(s, i + 1, F.lit(11))))
 
-    return F.get(F.transform(F.array(_digits(s)), numbers), 0)
+    found = F.get(F.transform(F.array(_digits(s)), numbers), 0)
+    return F.when(s.rlike("[0-9]{11}"), found).when(s.isNotNull(), F.array().cast("array<string>"))
 
 
 def cpf_field(s: Column) -> Column:
     """The first valid number in the text's digits and spaces, then in its digits alone, else these digits."""
     spaced = keep_chars(s, "0-9 ")
     digits = F.replace(spaced, F.lit(" "), F.lit(""))
-    return F.coalesce(F.get(find_cpfs(spaced), 0), F.get(find_cpfs(digits), 0), digits)
+    return F.coalesce(F.get(find_cpfs(spaced), 0), F.when(digits != spaced, F.get(find_cpfs(digits), 0)), digits)
 
 
 # Licence categories.

@@ -66,12 +66,13 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(200.0 * lcs(a, b) / F.greatest(total, F.lit(1)))
 
 
-def lcs_rate(a: Column, b: Column, principal: int | None = None) -> Column:
+def lcs_rate(a: Column, b: Column, principal: int | None = None, common: Column | None = None) -> Column:
     """(rate, error): common characters by those of text 1, text 2 or both; an empty principal text is matched.
 
-    error is what both texts have beyond them. Two empty texts without a principal have no rate.
+    error is what both texts have beyond them. Two empty texts without a principal have no rate. common is lcs(a, b) where
+    a column already holds it.
     """
-    n, m, common = F.length(a), F.length(b), lcs(a, b)
+    n, m, common = F.length(a), F.length(b), lcs(a, b) if common is None else common
     size = {1: n, 2: m}.get(principal, n + m)
     rate = F.when(size > 0, (1.0 if principal else 2.0) * common / F.greatest(size, F.lit(1)))
     error = n + m - 2 * common
@@ -92,10 +93,10 @@ def word_similarity(a: Column, b: Column) -> Column:
     return F.aggregate(few, F.lit(0.0), lambda acc, w: acc + best(w)) / F.size(few)
 
 
-def capped_rate(a: Column, b: Column, by_first: bool = True) -> Column:
+def capped_rate(a: Column, b: Column, common: Column | None = None, by_first: bool = True) -> Column:
     """Common characters by those of one text (0 if it is empty); only equal texts reach 1, full ones end at 0.999."""
     size = F.length(a) if by_first else F.length(b)
-    rate = F.when(size == 0, 0.0).otherwise(lcs(a, b) / F.greatest(size, F.lit(1)))
+    rate = F.when(size == 0, 0.0).otherwise((lcs(a, b) if common is None else common) / F.greatest(size, F.lit(1)))
     return F.when(a == b, 1.0).when(rate == 1, 0.999).otherwise(rate)
 
 

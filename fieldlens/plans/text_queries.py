@@ -232,8 +232,10 @@ SELECT id, round(2.0 * lcs / (length(a) + length(b)), 6) AS both_rate, round(1.0
   round(CASE WHEN a = b THEN 1.0 WHEN lcs = length(a) THEN 0.999 ELSE 1.0 * lcs / length(a) END, 6) AS capped FROM lcs""")
 def lcs_rates(spark, d):
     a, b = F.col("a"), F.col("b")
-    rates = [F.round(similarity.lcs_rate(a, b, p)["rate"], 6).alias(n) for p, n in ((None, "both_rate"), (1, "first_rate"), (2, "second_rate"))]
-    return _neighbours(spark, d).select("id", *rates, F.round(similarity.capped_rate(a, b), 6).alias("capped"))
+    common = F.col("common")  # counted once for all rates
+    rates = [F.round(similarity.lcs_rate(a, b, p, common)["rate"], 6).alias(n) for p, n in ((None, "both_rate"), (1, "first_rate"), (2, "second_rate"))]
+    rows = _neighbours(spark, d).withColumn("common", similarity.lcs(a, b))
+    return rows.select("id", *rates, F.round(similarity.capped_rate(a, b, common), 6).alias("capped"))
 
 
 @query()
