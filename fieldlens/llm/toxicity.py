@@ -24,11 +24,11 @@ BLOCK = 128
 NEIGHBOURS = 15
 COMMON = 1 / 12
 #: Texts that are compared with the examples together.
-BATCH = 64
+BATCH = 32
 #: Bytes of the word beginnings that count as terms beside whole words, so that inflected words meet.
 STEMS = (4, 5, 6)
 #: Words whose terms a worker keeps.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: Word triples that two examples of a label share, of those of either, to count as one.
 COPIES = 0.8
 
