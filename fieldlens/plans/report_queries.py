@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import geometry
 from fieldlens.operators import boxes, classify, evaluate, metrics, resolve
-from fieldlens.plans.document_queries import _DET, _ROWS, _detections, _expected, _matched
-from fieldlens.plans.registry import query, table
+from fieldlens.plans.document_queries import _DET, _EXP, _ROWS, _detections, _expected, _matched
+from fieldlens.plans.registry import lcs_cte, query, table
 from fieldlens.sources import readers, writers
 
 
@@ -137,7 +137,12 @@ def union_of_kinds(spark, d):
     return table(spark, d, "region").select(F.col("r_name").alias("kind")).union(table(spark, d, "documents").select("source")).distinct()
 
 
-@query()
+@query(f"""
+WITH RECURSIVE q AS (SELECT file, 'nome_' || field AS field, expected, replace(expected, 'o', '0') AS ocr, upper(expected) AS adjusted, row_number() OVER (ORDER BY file, field) AS k FROM {_EXP}),
+r AS (SELECT * FROM q WHERE expected <> '' AND ocr <> adjusted),
+{lcs_cte("SELECT 2 * k AS id, expected AS a, ocr AS b FROM r UNION ALL SELECT 2 * k + 1, expected, adjusted FROM r").replace("RECURSIVE ", "")},
+e AS (SELECT id, length(a) + length(b) - 2 * lcs AS err, round(200.0 * lcs / (length(a) + length(b)), 6) AS rate FROM lcs)
+SELECT file, field, o.rate AS rate_oe, o.err AS err_oe, x.rate AS rate_ae, x.err AS err_ae FROM r JOIN e o ON o.id = 2 * k JOIN e x ON x.id = 2 * k + 1""")
 def correction_ledger(spark, d):
     e = _expected(spark, d).withColumn("field", F.concat(F.lit("nome_"), "field"))
     seen = e.select("file", "field", F.replace("expected", F.lit("o"), F.lit("0")).alias("ocr"), F.upper("expected").alias("adjusted"))

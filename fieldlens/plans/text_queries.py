@@ -238,7 +238,15 @@ def lcs_rates(spark, d):
     return rows.select("id", *rates, F.round(similarity.capped_rate(a, b, common), 6).alias("capped"))
 
 
-@query()
+_WORD_PAIRS = "SELECT row_number() OVER (ORDER BY u, v) AS id, u AS a, v AS b FROM (SELECT DISTINCT u, v FROM f JOIN m USING (id))"
+
+
+@query(f"""
+WITH RECURSIVE s AS (SELECT id, string_split(lower(a), ' ') AS x, string_split(lower(b), ' ') AS y FROM ({_NEIGHBOURS})),
+f AS (SELECT id, unnest(CASE WHEN len(x) < len(y) THEN x ELSE y END) AS u, unnest(range(0, least(len(x), len(y)))) AS i FROM s), m AS (SELECT id, unnest(CASE WHEN len(x) < len(y) THEN y ELSE x END) AS v FROM s),
+{lcs_cte(_WORD_PAIRS).replace("RECURSIVE ", "")},
+b AS (SELECT f.id, i, max(2.0 * lcs / (length(a) + length(b))) AS best FROM f JOIN m ON m.id = f.id JOIN lcs ON a = u AND b = v GROUP BY ALL)
+SELECT id, round(avg(best), 6) AS similarity FROM b GROUP BY 1""")
 def word_similarity(spark, d):
     return _neighbours(spark, d).select("id", F.round(similarity.word_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
