@@ -242,7 +242,17 @@ def photo_share(spark, d):
     return boxes.photo_share(rows)
 
 
-@query()
+_SIDE = "greatest(0, least(s.{0} + s.{1}, b.{0} + b.{1}) - greatest(s.{0}, b.{0}))"
+_BOTH = f"({_SIDE.format('x', 'w')} * {_SIDE.format('y', 'h')})"
+
+
+@query(f"""
+WITH RECURSIVE b AS (SELECT file, class_index, x, y, w, h, score, row_number() OVER (PARTITION BY file ORDER BY score DESC, class_index, x, y, w, h) AS i FROM {_DET} WHERE score > 0.9),
+k AS (SELECT file, 0::BIGINT AS i, [struct_pack(c := class_index, x := x, y := y, w := w, h := h, score := score)][1:0] AS held FROM b WHERE i = 1
+  UNION ALL SELECT k.file, b.i, CASE WHEN len(list_filter(held, lambda s: {_BOTH} / (s.w * s.h + b.w * b.h - {_BOTH}) > 0.3)) > 0 THEN held
+    ELSE list_append(held, struct_pack(c := b.class_index, x := b.x, y := b.y, w := b.w, h := b.h, score := b.score)) END FROM k JOIN b ON b.file = k.file AND b.i = k.i + 1),
+f AS (SELECT file, max_by(held, i) AS held FROM k GROUP BY 1), u AS (SELECT file, unnest(held) AS s, unnest(range(0, len(held)))::INT AS nms_rank FROM f)
+SELECT file, s.c AS class_index, s.x AS x_min, s.y AS y_min, s.w AS width, s.h AS height, s.score AS score, nms_rank FROM u""")
 def nms(spark, d):
     rows = _detections(spark, d).select("file", "class_index", "score", F.col("x").alias("x_min"), F.col("y").alias("y_min"), F.col("w").alias("width"), F.col("h").alias("height"))
     return boxes.suppressed(rows)
@@ -379,7 +389,15 @@ def issuer_expand(spark, d):
     return resolve.issuer_codes(codes, states)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE k AS (SELECT n_nationkey AS pos, 'republic of ' || lower(n_name) AS header, lower(n_name) AS detail FROM nation), q AS (SELECT DISTINCT 'repblic of ' || lower(n_name) AS text FROM nation),
+w AS (SELECT text, unnest(string_split(text, ' ')) AS word FROM q), ab AS (SELECT DISTINCT word AS a, detail AS b FROM w CROSS JOIN k UNION SELECT text, header FROM q CROSS JOIN k),
+{lcs_cte("SELECT row_number() OVER (ORDER BY a, b) AS id, a, b FROM ab").replace("RECURSIVE ", "")},
+r AS (SELECT a, b, 2.0 * lcs / (length(a) + length(b)) AS rate FROM lcs),
+s AS (SELECT text, pos, header, max(x.rate) AS near, max(y.rate) * 100 AS score FROM w CROSS JOIN k JOIN r x ON x.a = word AND x.b = detail JOIN r y ON y.a = text AND y.b = header GROUP BY text, pos, header),
+c AS (SELECT *, max(near) OVER (PARTITION BY text) AS top FROM s), f AS (SELECT * FROM c WHERE top < 0.85 OR near >= CASE WHEN top >= 0.95 THEN 0.95 ELSE 0.85 END),
+g AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, near DESC, pos) AS rn, count(*) OVER (PARTITION BY text) AS n FROM f)
+SELECT text, upper(CASE WHEN score >= 70 OR n = 1 THEN header ELSE text END) AS header FROM g WHERE rn = 1""")
 def header_match(spark, d):
     known = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.concat_ws(" ", F.lit("republic of"), F.lower("n_name")).alias("header"), F.lower("n_name").alias("detail1"), F.lit("").alias("detail2"))
     asked = table(spark, d, "nation").select(F.concat_ws(" ", F.lit("repblic of"), F.lower("n_name")).alias("text"))
