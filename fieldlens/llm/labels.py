@@ -19,7 +19,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_ou
     The balanced sample has at most per_class rows of either label, from 13 of 16 rows; the natural one at most
     `natural` of the other rows as they come. Rows are taken in the order of an MD5 of their id, so the same ones at
     every run, those of more than a fiftieth of max_bytes last, so that no long text takes the place of many; each sample
-    ends before max_bytes of text. These bounds, not the table, size what reaches the driver. Rows without a label or text are left out; of several labels of a document the largest counts.
+    ends before max_bytes of text. These bounds, not the table, size what reaches the driver. Rows without a label or text
+    are left out; of several labels of a document the largest counts.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(remainder(F.col("doc_id"), divisor) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
