@@ -9,13 +9,15 @@ from fieldlens.llm import block_naming, mixing, ngram_join, packing, toxicity
 from fieldlens.llm.common import Scratch
 
 WEIGHTS = [1.0, 2.0, 3.0]
+#: Examples of a label that a toxicity worker holds here, where workers of other stages share an executor's memory.
+EXAMPLES = 1000
 #: Words a packing worker keeps here, where the stages before it have left executors less memory.
 REMEMBERED = 60_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays under 0.3."""
-    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), per_class=EXAMPLES)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

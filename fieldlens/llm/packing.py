@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import struct
 import zlib
@@ -48,12 +47,12 @@ class _Whole(Exception):
     """The text must go to the tokenizer whole."""
 
 
-def cuts_at_spaces(definition: dict) -> bool:
+def cuts_at_spaces(tokenizer) -> bool:
     """Whether a tokenizer is plain byte-level BPE, whose pattern cuts texts as WordEncoder does."""
-    cut, model = definition.get("pre_tokenizer") or {}, definition.get("model") or {}
-    byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    cut, model = tokenizer.pre_tokenizer, tokenizer.model
+    byte_level = type(cut).__name__ == "ByteLevel" and cut.use_regex and not cut.add_prefix_space
     odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
-    return byte_level and definition.get("normalizer") is None and model.get("type") == "BPE" and not any(model.get(k) for k in odd)
+    return bool(byte_level and tokenizer.normalizer is None and type(model).__name__ == "BPE" and not any(getattr(model, k, None) for k in odd))
 
 
 class WordEncoder:
@@ -72,12 +71,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
+        self.by_word = cuts_at_spaces(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bare = _Remembered(self._encode, remembered // 4)
         self.led = _Remembered(self._led, remembered)
         self.merge = self.tokenizer.model.tokenize
-        self.bytes = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
+        self.bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())] if self.by_word else []
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 in order
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in printable]
@@ -108,7 +107,7 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
-            return b"".join([self.bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+            return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         first, *words = text.split(" ")
         if not words or first[-1:].isspace() or any(s in first or s in words[-1] for s in self.special):
             return self._encode(text)

@@ -22,9 +22,9 @@ SAMPLE_BYTES = 12_000_000
 #: Examples of a block; neighbours that vote; the share of examples from which a term's postings are kept as a full row.
 BLOCK = 128
 NEIGHBOURS = 15
-COMMON = 1 / 12
+COMMON = 1 / 8
 #: Texts that are compared with the examples together.
-BATCH = 32
+BATCH = 16
 #: Bytes of the word beginnings that count as terms beside whole words, so that inflected words meet.
 STEMS = (4, 5, 6)
 #: Words whose terms a worker keeps.
@@ -252,8 +252,8 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int = 2) -> Index:
-    balanced, natural = sample(docs, labels, "toxic", divisor, held_out, PER_CLASS, CALIBRATION, SAMPLE_BYTES)
+def fitted(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int = 2, per_class: int = PER_CLASS) -> Index:
+    balanced, natural = sample(docs, labels, "toxic", divisor, held_out, per_class, CALIBRATION, SAMPLE_BYTES)
     index = build(balanced)
     calibrate(index, natural or balanced)
     return index
@@ -284,9 +284,12 @@ def score(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int =
     return scored.select("doc_id", (remainder(F.col("doc_id"), divisor) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs whose score stays under the threshold, in docs' columns: the scores travel beside the rows, in one pass."""
-    shipped = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
+    """docs whose score stays under the threshold, in docs' columns: the scores travel beside the rows, in one pass.
+
+    per_class bounds the examples of a label, and so what each worker holds.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class=per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
