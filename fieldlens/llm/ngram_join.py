@@ -348,7 +348,7 @@ def _verify(seed: int):
 PAIRS = "x long, xn long, xc long, y long, yn long, yc long, k long"
 _PAIRS = pa.schema([(n, pa.int64()) for n in ("x", "xn", "xc", "y", "yn", "yc", "k")])
 #: Shared tokens that a block's count spells out at a time.
-MATCHES = 1 << 20
+MATCHES = 1 << 18
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
