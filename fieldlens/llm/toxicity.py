@@ -47,7 +47,7 @@ def terms_of(word: bytes) -> tuple[bytes, ...]:
 
 
 class Words(dict):
-    """Term numbers of words, packed, made on first use; forgotten when there are too many."""
+    """Term numbers of words, packed by make on first use; forgotten when there are too many."""
 
     def __init__(self, make):
         super().__init__()
@@ -56,7 +56,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = array("i", self.make(word)).tobytes()
+        self[word] = found = self.make(word)
         return found
 
     def counted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +127,18 @@ class Index:
 
     def reader(self):
         """A function from a text to its known terms and their weights, of length 1; words are remembered."""
-        numbers = {t: i for i, t in enumerate(self.terms)}.get
-        known = Words(lambda word: [i for t in terms_of(word) if (i := numbers(t)) is not None])
+        packed = {t: i.tobytes() for t, i in zip(self.terms, np.arange(len(self.terms), dtype=np.int32))}.get
+
+        def numbers(word: bytes) -> bytes:
+            """Of terms_of(word) those that are known: every beginning of a known one is known, too."""
+            found = packed(word, b"")
+            for k in STEMS:
+                if len(word) <= k or (stem := packed(word[:k] + b"*")) is None:
+                    break
+                found += stem
+            return found
+
+        known = Words(numbers)
 
         def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             ids, counts = known.counted(text or "")
@@ -147,16 +157,18 @@ class Index:
         m, n, width = len(queries), len(self.labels), self.rows.shape[1]
         if not n or not m:
             return [[] for _ in queries]
-        of = np.repeat(np.arange(m), [len(i) for i, _ in queries])
-        ids, weights = (np.concatenate(x) for x in zip(*queries))
-        row = self.row[ids]
-        heavy = np.zeros((m, len(self.rows)))
-        heavy[of[row >= 0], row[row >= 0]] = weights[row >= 0]
-        rare = row < 0
-        lo = self.starts[ids[rare]]
-        count = self.starts[ids[rare] + 1] - lo
-        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        sums = np.bincount(np.repeat(of[rare] * width, count) + self.places[at], np.repeat(weights[rare], count) * self.weights[at], minlength=m * width).reshape(m, width)
+        heavy, sums = np.zeros((m, len(self.rows))), np.empty((m, width))
+        for q, (ids, weights) in enumerate(queries):  # one by one: a text's postings stay in the processor's cache
+            row = self.row[ids]
+            rare = row < 0
+            heavy[q, row[~rare]] = weights[~rare]
+            lo = self.starts[ids[rare]]
+            count = self.starts[ids[rare] + 1] - lo
+            at = np.repeat(lo - (np.cumsum(count) - count), count)
+            at += np.arange(len(at))
+            share = np.repeat(weights[rare], count)
+            share *= self.weights[at]
+            sums[q] = np.bincount(self.places[at], share, minlength=width)
         bounds = sums.reshape(m, -1, BLOCK).max(2) + heavy @ self.block_max + 1e-9
         seen = np.zeros(bounds.shape, bool)
         best = np.zeros((m, k))  # the k best cosines so far, unordered
@@ -205,7 +217,7 @@ def term_weights(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.nd
 def build(balanced: list[tuple[str, int]]) -> Index:
     """The index of all examples with a word, over all their terms."""
     vocabulary: dict[bytes, int] = {}
-    words = Words(lambda word: [vocabulary.setdefault(t, len(vocabulary)) for t in terms_of(word)])
+    words = Words(lambda word: array("i", [vocabulary.setdefault(t, len(vocabulary)) for t in terms_of(word)]).tobytes())
     held = [(*words.counted(text), v) for text, v in distinct(balanced)]
     held = [x for x in held if len(x[0])]
     if not held:

@@ -521,3 +521,28 @@ def test_plain_columns_only_on_native_paths(docs, spark):
     native = [fingerprints.fingerprint(docs), block_naming.dedup(docs), mixing.mix(docs, [1.0]), reply_trees.digests(chats)]
     for df in native:
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_toxicity_reader_and_batches():
+    """Known terms of a word are all found, and a batch needs hardly more memory beside its sums than its longest text."""
+    import tracemalloc
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    index = toxicity.build([(" ".join(r.choices(words, k=300)), i % 2) for i in range(600)])
+    number = {t: i for i, t in enumerate(index.terms)}
+    read = index.reader()
+    for word in [*words[:300], "abcdefgh", "abcdz", "ünï", "q", "abcde" * 9]:
+        ids, _ = read(word)
+        assert ids.tolist() == sorted({number[t] for w in toxicity.words_of(word) for t in toxicity.terms_of(w) if t in number})
+    queries = [read(" ".join(words))] * 16
+    assert index.nearest(queries) == index.nearest(queries[:1]) * 16
+
+    def peak(some):
+        tracemalloc.start()
+        index.nearest(some)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(queries) < 4 * peak(queries[:1])
