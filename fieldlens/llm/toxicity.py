@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import claim
+from fieldlens.llm.common import claim, rest
 from fieldlens.llm.labels import remainder, sample
 
 #: Bounds of the labelled sample: examples of a label, rows for calibration, bytes of either's texts.
@@ -24,7 +24,7 @@ BLOCK = 128
 NEIGHBOURS = 15
 COMMON = 1 / 8
 #: Texts that are compared with the examples together.
-BATCH = 16
+BATCH = 64
 #: Bytes of the word beginnings that count as terms beside whole words, so that inflected words meet.
 STEMS = (4, 5, 6)
 #: Words whose terms a worker keeps.
@@ -280,6 +280,7 @@ def score(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int =
     result; repeated rows are scored each; other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, divisor, held_out))
+    rest(docs.sparkSession)
     shape = "doc_id long, score double, evidence array<struct<label:int,cosine:double>>"
     kind = pa.list_(pa.struct([("label", pa.int32()), ("cosine", pa.float64())]))
 
@@ -302,6 +303,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
     per_class bounds the examples of a label, and so what each worker holds.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class=per_class))
+    rest(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")

@@ -546,3 +546,28 @@ def test_toxicity_reader_and_batches():
         return most
 
     assert peak(queries) < 4 * peak(queries[:1])
+
+
+@pytest.mark.parametrize("few", [0, 7, 20_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    """However many edges are left to one task, roots are the same; with room for all edges no round comes before it."""
+    monkeypatch.setattr(ngram_join, "FEW_EDGES", few)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(-5, 300), (300, -9), (7, 7)]
+    scratch = Scratch(spark, "test-components")
+    found = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "u long, v long"), scratch, "x").collect()}
+    want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {300: -9, -5: -9, -9: -9}
+    assert found == want
+    if few > len(edges):
+        assert "x-parent0" in scratch.names and "x-edges1" not in scratch.names
+    none = spark.createDataFrame([], "u long, v long")
+    assert ngram_join.components(none, scratch, "none").count() == 0
+
+
+def test_rest_between_steps(spark):
+    """Between steps the driver's garbage is collected, so that its heap does not grow with the number of jobs."""
+    scratch = Scratch(spark, "test-rest")
+    scratch.save(spark.range(3).toDF("x"), "a")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    before = sum(b.getCollectionCount() for b in beans())
+    scratch.drop("a")
+    assert sum(b.getCollectionCount() for b in beans()) > before
