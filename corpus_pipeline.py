@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldlens.llm import block_naming, mixing, ngram_join, packing, toxicity
-from fieldlens.llm.common import Scratch
+from fieldlens.llm.common import Scratch, rest_executors
 
 WEIGHTS = [1.0, 2.0, 3.0]
 #: Examples of a label that a toxicity worker holds here, where workers of other stages share an executor's memory.
@@ -22,21 +22,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one that block naming keeps."""
+    rest_executors(spark)
     return block_naming.unique_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
+    rest_executors(spark)
     return ngram_join.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    rest_executors(spark)
     return mixing.mixed_documents(docs, WEIGHTS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token's place in the sequences."""
+    rest_executors(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 

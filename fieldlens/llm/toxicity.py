@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlens.llm.common import claim, rest
+from fieldlens.llm.common import claim, rest, rest_executors
 from fieldlens.llm.labels import remainder, sample
 
 #: Bounds of the labelled sample: examples of a label, rows for calibration, bytes of either's texts.
@@ -304,6 +304,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pe
     """
     shipped = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class=per_class))
     rest(docs.sparkSession)
+    rest_executors(docs.sparkSession)  # the sample's scans have grown their heaps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fieldlens.llm import block_naming, compression, fingerprints, mixing, ngram_join, packing, repeats, reply_trees, sharding, toxicity
-from fieldlens.llm.common import Scratch
+from fieldlens.llm.common import Scratch, rest_executors
 from fieldlens.llm.labels import sample
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, name string, size long, key string, `_bucket` int, `_id` long, a string"
@@ -571,3 +571,15 @@ def test_rest_between_steps(spark):
     before = sum(b.getCollectionCount() for b in beans())
     scratch.drop("a")
     assert sum(b.getCollectionCount() for b in beans()) > before
+
+
+def collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_executors_rest(spark):
+    """Tasks collect garbage where they run (here in the driver's JVM); Spark neither folds nor skips the call."""
+    before = collections(spark)
+    rest_executors(spark)
+    assert collections(spark) > before

@@ -87,3 +87,17 @@ def test_stages(spark, tables):
             want[(r.doc_id, s, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)), len(ids))] += 1
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in kept[4]) == want
     assert Counter((r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, path).collect()) == Counter((k[0], k[1], k[2]) for k in want.elements())
+
+
+def test_executors_rest_in_every_stage(spark, tables, monkeypatch):
+    """Heaps that one stage has grown are given back before the next one's Python workers grow."""
+    from pyspark.sql import DataFrameWriter
+
+    rested = []
+    save = DataFrameWriter.save
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, *a, **b: (rested.append(self._df.columns), save(self, *a, **b))[1])
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet").where("doc_id < 60")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, tables[0])
+        assert len(rested) == i + 1
+    assert rested == [["done"]] * 5
